@@ -14,7 +14,7 @@ follows another character, if no piece holds one inside, and around characters
 that no piece holds. So whole texts are counted by stretches, and the counts of
 short stretches are remembered by each task, at most MEMO of them.
 
-Defined results: a null text has null tokens' count 0, like an empty one; rows
+Defined results: a null text has 0 tokens, like an empty one; rows
 are independent, so repeated rows and null ids keep a row each; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -72,9 +72,10 @@ class Counter(dict):
         self.automaton.make_automaton()
         self.unknown = min((score for _, score in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
         pieces = [piece for piece, _ in vocabulary.pieces]
-        self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
-        self.breaks = vocabulary.bytes and not any("\n" in piece for piece in pieces)
         self.singles = {piece for piece in pieces if len(piece) == 1}
+        # A run of unknowns counts once if there are no bytes, and it may reach across a U+2581 that is no piece.
+        self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in pieces) and (vocabulary.bytes or SPACE in self.singles)
+        self.breaks = vocabulary.bytes and not any("\n" in piece for piece in pieces)
 
     def viterbi(self, stretch: str) -> int:
         n = len(stretch)
