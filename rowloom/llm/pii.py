@@ -174,8 +174,11 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with each found span, overlapping ones as one, replaced by its kind in brackets."""
+def redact(docs: DataFrame, length: str = "n_chars") -> DataFrame:
+    """docs with each found span, overlapping ones as one, replaced by its kind in brackets.
+
+    The column named by length, if docs has it, is the text's length where the text has changed.
+    """
     found = spans(docs, "__spans")
     ordered = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     found = found.withColumn("__spans", ordered)
@@ -187,5 +190,13 @@ def redact(docs: DataFrame) -> DataFrame:
 
     begun = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("pieces"))
     whole = F.aggregate("__spans", begun, cut, lambda a: F.concat(F.array_join(a["pieces"], ""), F.substr("text", a["upto"] + 1)))
-    columns = [F.when(F.size("__spans") > 0, whole).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    found = found.withColumn("__redacted", F.when(F.size("__spans") > 0, whole))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.coalesce("__redacted", "text").alias("text")
+        if name == length:
+            return F.coalesce(F.length("__redacted").cast(docs.schema[name].dataType), F.col(name)).alias(name)
+        return F.col(f"`{name}`")
+
+    return found.select(*(column(c) for c in docs.columns))

@@ -85,6 +85,8 @@ def test_redaction(spark):
     df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
     got = pii.redact(df)
     assert got.columns == df.columns
+    sized = spark.createDataFrame([(1, "to a@b.c", 8), (2, "none", None)], "doc_id long, text string, n_chars long")
+    assert sorted(map(tuple, pii.redact(sized).collect())) == [(1, "to [EMAIL]", 10), (2, "none", None)]
     assert [r.text for r in sorted(got.collect())] == ["mail [EMAIL] or [EMAIL] é, [PHONE] x", None, "plain", "[CARD]"]
 
 
