@@ -18,12 +18,12 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,26 +36,34 @@ PAD = TOKENS
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
 SEED = 42
-RATE = 0.08
-BATCH = 8192
+RATE = 0.1
+START_SQUARE = 1e-6
+#: Windows of a training step: this many at first, twice as many after each GROW steps, BATCH at most.
+FIRST_BATCH, GROW, BATCH = 256, 16, 16384
 #: Tokens of documents that are encoded before they are trained on or scored.
 BUFFER = 1 << 17
 #: Words that a task remembers or counts at a time.
-MEMO = 300_000
+MEMO = 500_000
 SHAPES = {"embed": (len(OFFSETS), TOKENS + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "to_member": (CLASSES, WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
 
+def key_of(word: str) -> int:
+    """The signed 64-bit hash by which words are counted and known."""
+    return (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) ^ (1 << 63)) - (1 << 63)
+
+
 class Encoder(dict):
     """Token ids by word: frequent words, most frequent first, then the shared ids."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, keys: list[int]):
         super().__init__()
-        self.words = {w: k for k, w in enumerate(words[: TOKENS - OTHERS])}
+        self.keys_ = {w: k for k, w in enumerate(keys[: TOKENS - OTHERS])}
 
     def __missing__(self, word: str) -> int:
-        found = self.words.get(word)
+        key = key_of(word)
+        found = self.keys_.get(key)
         if found is None:
-            found = TOKENS - OTHERS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHERS
+            found = TOKENS - OTHERS + key % OTHERS
         if len(self) >= MEMO:
             self.clear()
         self[word] = found
@@ -66,16 +74,23 @@ class Encoder(dict):
         return np.fromiter(map(self.__getitem__, words), np.int16, len(words))
 
 
+#: Logits above this count as this, so that no exponential overflows.
+HIGHEST = 60.0
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+    """Softmax of each row, in place."""
+    np.minimum(x, HIGHEST, out=x)
+    np.exp(x, out=x)
+    # A product with ones is faster than a sum over short rows.
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype) + x.dtype.type(1e-30)))[:, None]
     return x
 
 
 class Network:
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.weights = weights
-        self.squares = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
+        self.weights, self.steps = weights, 0
+        self.squares = {k: np.full_like(v, START_SQUARE) for k, v in weights.items()}
 
     @classmethod
     def start(cls, shares: np.ndarray) -> Network:
@@ -106,6 +121,17 @@ class Network:
         squares[at] += gradient * gradient
         self.weights[name][at] -= RATE * gradient / np.sqrt(squares[at])
 
+    def train(self, x: np.ndarray) -> int:
+        """Train on all windows of a buffer; their number."""
+        places = np.flatnonzero(x != PAD)
+        at = 0
+        while at < len(places):
+            size = min(BATCH, FIRST_BATCH << min(20, self.steps // GROW))
+            self.run(x, places[at : at + size], True)
+            at += size
+            self.steps += 1
+        return len(places)
+
     def run(self, x: np.ndarray, at: np.ndarray, train: bool) -> np.ndarray:
         """Log-probabilities of the tokens x[at] in their windows; x is padded by PAD on both sides of each text."""
         w, n = self.weights, len(at)
@@ -168,11 +194,11 @@ def buffers(encoder: Encoder, texts: Iterator[str | None]) -> Iterator[tuple[np.
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, count) over all documents."""
+    """(key, count) of the words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        made = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "count"])
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["key", "count"])
         for batch in batches:
             for text in batch.column("text"):
                 found.update((text.as_py() or "").lower().split())
@@ -183,7 +209,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield made()
 
     rows = docs.select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return rows.mapInArrow(count, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +225,11 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MODEL = "flat binary, tokens long"
 
 
-def fit(docs: DataFrame) -> tuple[list[str], bytes]:
-    """The frequent words, and the weights trained on all documents."""
+def fit(docs: DataFrame) -> tuple[list[int], bytes]:
+    """The keys of the frequent words, and the weights trained on all documents."""
     counts = word_counts(docs)
-    top = counts.orderBy(F.desc("count"), "word").limit(TOKENS - OTHERS).collect()
-    words = [r["word"] for r in top]
+    top = counts.orderBy(F.desc("count"), "key").limit(TOKENS - OTHERS).collect()
+    words = [r["key"] for r in top]
     known = np.array([r["count"] for r in top], float)
     rest = counts.agg(F.sum("count")).first()[0] if len(top) == TOKENS - OTHERS else known.sum()
     shares = np.full(TOKENS, 0.5)
@@ -214,10 +240,7 @@ def fit(docs: DataFrame) -> tuple[list[str], bytes]:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, encoder, tokens = Network.read(start), Encoder(words), 0
         for x, _ in buffers(encoder, (t.as_py() for batch in batches for t in batch.column("text"))):
-            places = np.flatnonzero(x != PAD)
-            for at in range(0, len(places), BATCH):
-                network.run(x, places[at : at + BATCH], True)
-            tokens += len(places)
+            tokens += network.train(x)
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([network.flat().tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["flat", "tokens"])
 
@@ -227,7 +250,7 @@ def fit(docs: DataFrame) -> tuple[list[str], bytes]:
     return words, bytes(found[0]["flat"]) if found else start
 
 
-def score(docs: DataFrame, model: tuple[list[str], bytes]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[list[int], bytes]) -> DataFrame:
     """(doc_id, n_tokens, score, mean) for each row."""
     words, flat = model
 
