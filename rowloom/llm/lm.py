@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import tasks
+from rowloom.llm.common import stored, tasks
 
 CLASSES, MEMBERS = 32, 32
 TOKENS = CLASSES * MEMBERS
@@ -40,7 +40,7 @@ RATE = 0.1
 START_SQUARE = 1e-6
 #: Windows of a training step: this many at first, twice as many after each GROW steps, BATCH at most.
 FIRST_BATCH, GROW, BATCH = 256, 16, 16384
-#: Tokens of documents that are encoded before they are trained on or scored.
+#: Tokens of documents that are brought together to be trained on or scored.
 BUFFER = 1 << 17
 #: Words that a task remembers or counts at a time.
 MEMO = 500_000
@@ -177,12 +177,11 @@ class Network:
         return out
 
 
-def buffers(encoder: Encoder, texts: Iterator[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """Padded tokens of many texts, and the texts' lengths; a very long text is a buffer of its own."""
+def buffers(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Padded tokens of many encoded texts, and the texts' lengths; a very long text is a buffer of its own."""
     pad = np.full(2, PAD, np.int16)
     held, lengths, total = [pad], [], 0
-    for text in texts:
-        ids = encoder.encode(text)
+    for ids in texts:
         held += [ids, pad]
         lengths.append(len(ids))
         total += len(ids) + 2
@@ -225,41 +224,60 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MODEL = "flat binary, tokens long"
 
 
-def fit(docs: DataFrame) -> tuple[list[int], bytes]:
-    """The keys of the frequent words, and the weights trained on all documents."""
+def vocabulary(docs: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The keys of the frequent words, and each token's share of the corpus."""
     counts = word_counts(docs)
     top = counts.orderBy(F.desc("count"), "key").limit(TOKENS - OTHERS).collect()
-    words = [r["key"] for r in top]
     known = np.array([r["count"] for r in top], float)
     rest = counts.agg(F.sum("count")).first()[0] if len(top) == TOKENS - OTHERS else known.sum()
     shares = np.full(TOKENS, 0.5)
     shares[: len(known)] += known
     shares[TOKENS - OTHERS :] += max(0.0, float(rest or 0) - known.sum()) / OTHERS
-    start = Network.start(shares / shares.sum()).flat().tobytes()
+    return [r["key"] for r in top], shares / shares.sum()
+
+
+def encoded(docs: DataFrame, keys: list[int]) -> DataFrame:
+    """(doc_id, ids): each text's tokens, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(keys)
+        for batch in batches:
+            ids = [encoder.encode(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
+
+
+def _arrays(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(ids.as_py(), np.int16) for ids in batch.column("ids"))
+
+
+def train(texts: DataFrame, shares: np.ndarray) -> bytes:
+    """The weights trained on all encoded texts."""
+    start = Network.start(shares).flat().tobytes()
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, encoder, tokens = Network.read(start), Encoder(words), 0
-        for x, _ in buffers(encoder, (t.as_py() for batch in batches for t in batch.column("text"))):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, tokens = Network.read(start), 0
+        for x, _ in buffers(ids for batch in batches for ids in _arrays(batch)):
             tokens += network.train(x)
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([network.flat().tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["flat", "tokens"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text"))
-    models = rows.mapInArrow(train, MODEL)
-    found = models.repartition(tasks(docs)).mapInArrow(_averaged, MODEL).repartition(1).mapInArrow(_averaged, MODEL).collect()
-    return words, bytes(found[0]["flat"]) if found else start
+    models = texts.select("ids").mapInArrow(run, MODEL)
+    found = models.repartition(tasks(texts)).mapInArrow(_averaged, MODEL).repartition(1).mapInArrow(_averaged, MODEL).collect()
+    return bytes(found[0]["flat"]) if found else start
 
 
-def score(docs: DataFrame, model: tuple[list[int], bytes]) -> DataFrame:
-    """(doc_id, n_tokens, score, mean) for each row."""
-    words, flat = model
+def score_encoded(texts: DataFrame, flat: bytes) -> DataFrame:
+    """(doc_id, n_tokens, score, mean) for each encoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, encoder = Network.read(flat), Encoder(words)
+        network = Network.read(flat)
         for batch in batches:
             lengths: list[int] = []
             sums: list[float] = []
-            for x, sizes in buffers(encoder, (t.as_py() for t in batch.column("text"))):
+            for x, sizes in buffers(_arrays(batch)):
                 places = np.flatnonzero(x != PAD)
                 parts = [network.run(x, places[at : at + BATCH], False) for at in range(0, len(places), BATCH)]
                 running = np.concatenate([[0.0], np.cumsum(np.concatenate([np.zeros(0), *parts]), dtype=np.float64)])
@@ -269,5 +287,23 @@ def score(docs: DataFrame, model: tuple[list[int], bytes]) -> DataFrame:
             means = [s / n if n else None for s, n in zip(sums, lengths, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "score", "mean"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double, mean double")
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double, mean double")
+
+
+def fit(docs: DataFrame) -> tuple[list[int], bytes]:
+    """The keys of the frequent words, and the weights trained on all documents."""
+    keys, shares = vocabulary(docs)
+    return keys, train(encoded(docs, keys), shares)
+
+
+def score(docs: DataFrame, model: tuple[list[int], bytes]) -> DataFrame:
+    """(doc_id, n_tokens, score, mean) for each row by a fitted model."""
+    keys, flat = model
+    return score_encoded(encoded(docs, keys), flat)
+
+
+def fit_and_score(docs: DataFrame) -> DataFrame:
+    """The scores of documents by a model trained on them, encoding each text once."""
+    keys, shares = vocabulary(docs)
+    texts = stored(encoded(docs, keys))
+    return score_encoded(texts, train(texts, shares))
