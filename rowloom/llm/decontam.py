@@ -33,8 +33,8 @@ from rowloom.llm.common import ascii_lower, stored
 WINDOW = 10
 #: A run of what isn't in \x00-\x2F, \x3A-\x60 and \x7B-\x7F, said by what is in: Java matches negated ranges several times slower.
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
-#: Windows (some 200 bytes each) that are broadcast at once.
-BLOCK_WINDOWS = 100_000
+#: Windows (some 200 bytes each) that are broadcast at once, and ten times as many counts of terms (16 bytes each).
+BLOCK_WINDOWS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -66,7 +66,7 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def lookups(wins: DataFrame, counts: DataFrame) -> DataFrame:
     """(key, windows): the windows to look up by each term, as the place of the term, the words and the items."""
     placed = wins.select("w", "items", F.posexplode("w").alias("at", "term")).withColumn("key", F.xxhash64("term"))
-    rated = placed.join(counts, "key", "left").select("w", "items", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "key").alias("rate"))
+    rated = placed.join(F.broadcast(counts), "key", "left").select("w", "items", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "key").alias("rate"))
     rarest = rated.groupBy("w", "items").agg(F.min("rate").alias("rate")).where("rate.count > 0")
     return rarest.groupBy("rate.key").agg(F.collect_list(F.struct(F.col("rate.at").alias("at"), "w", "items")).alias("windows"))
 
