@@ -197,8 +197,9 @@ def mark_classes(marks: DataFrame) -> DataFrame:
     reps = stored(marks.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("low")))
     # A rep must be unique; a null or shared doc_id isn't, so fingerprints stand for themselves.
     labels = connected_components(near_links(reps.select("fp", F.col("fp").alias("rep"))))
-    grouped = reps.join(labels, reps.fp == labels.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    lows = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
+    grouped = stored(reps.join(labels, reps.fp == labels.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label")))
+    # Stored, so that the join can split a class with very many fingerprints.
+    lows = stored(grouped.groupBy("label").agg(F.min("low").alias("component_id")))
     return grouped.join(lows, "label").select("fp", F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"))
 
 
