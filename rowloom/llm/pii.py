@@ -182,14 +182,25 @@ def redact(docs: DataFrame, length: str = "n_chars") -> DataFrame:
     found = spans(docs, "__spans")
     ordered = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     found = found.withColumn("__spans", ordered)
+    last = F.ceil(F.size("__spans") / CHUNK).cast("int") - 1
+    found = found.withColumn("__chunks", F.when(F.size("__spans") > 0, F.transform(F.sequence(F.lit(0), last), lambda c: F.slice("__spans", c * CHUNK + 1, CHUNK))))
 
     def cut(a: Column, s: Column) -> Column:
-        new = s["start"] >= a["upto"]
-        piece = F.concat(F.substr("text", a["upto"] + 1, F.greatest(F.lit(0), s["start"] - a["upto"])), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), F.when(new, F.concat(a["pieces"], F.array(piece))).otherwise(a["pieces"]).alias("pieces"))
-
-    begun = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("pieces"))
-    whole = F.aggregate("__spans", begun, cut, lambda a: F.concat(F.array_join(a["pieces"], ""), F.substr("text", a["upto"] + 1)))
+        """One span: what stands before it, cut from the chunk's stretch of the text, and its kind."""
+        piece = F.concat(F.substr(a["stretch"], a["upto"] - a["base"] + 1, F.greatest(F.lit(0), s["start"] - a["upto"])), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        pieces = F.when(s["start"] >= a["upto"], F.concat(a["pieces"], F.array(piece))).otherwise(a["pieces"])
+        return F.struct(F.greatest(a["upto"], s["end"]).alias("upto"), a["base"].alias("base"), a["stretch"].alias("stretch"), pieces.alias("pieces"))
+
+    def cut_chunk(a: Column, chunk: Column) -> Column:
+        end = F.aggregate(chunk, a["upto"], lambda e, s: F.greatest(e, s["end"]))
+        stretch = F.substr("text", a["upto"] + 1, end - a["upto"])
+        none = F.array().cast("array<string>")
+        inner = F.aggregate(chunk, F.struct(a["upto"].alias("upto"), a["upto"].alias("base"), stretch.alias("stretch"), none.alias("pieces")), cut, lambda x: F.struct(x["upto"].alias("upto"), F.array(F.array_join(x["pieces"], "")).alias("out")))
+        done = F.array(inner)  # evaluated once for both fields
+        return F.aggregate(done, a, lambda b, x: F.struct(x["upto"].alias("upto"), F.concat(b["out"], x["out"]).alias("out")))
+
+    begun = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate("__chunks", begun, cut_chunk, lambda a: F.concat(F.array_join(a["out"], ""), F.substr("text", a["upto"] + 1)))
     found = found.withColumn("__redacted", F.when(F.size("__spans") > 0, whole))
 
     def column(name: str) -> Column:

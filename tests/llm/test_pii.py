@@ -96,3 +96,17 @@ def test_awkward_rows(awkward, no_rows):
     assert pii.redact(awkward).columns == awkward.columns
     assert sorted(map(str, pii.redact(awkward).collect())) == sorted(map(str, awkward.collect()))
     assert pii.digest(pii.spans(no_rows)).collect() == []
+
+
+def test_redaction_of_many_spans(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a@b.c ", "é ", "+1 (10.0.0.1) 555 00", " 1.2.3.4", "x"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.redact(df).collect():
+        upto, out = 0, []
+        for a, b, kind in sorted((a, b, k) for k, a, b in plain(texts[r.doc_id])):
+            if a >= upto:
+                out.append(texts[r.doc_id][upto:a] + f"[{kind.upper()}]")
+            upto = max(upto, b)
+        assert r.text == "".join(out) + texts[r.doc_id][upto:]
