@@ -6,9 +6,15 @@ in two steps (a class of tokens, then the token in it). A document's score is
 the sum of the log-probabilities of all its tokens, each given its window.
 
 Tokens are lower-cased words between white space: the most frequent of the
-whole corpus have ids of their own, all others share OTHERS ids by hash. The
-network is trained on every window of every document: each task trains on its
-own rows, from the same start, and the tasks' weights are averaged by their
+whole corpus have ids of their own, all others share OTHERS ids by hash. A word
+of a shared id has that id's probability times its own counted share of the id.
+The counts of all words are a distributed table that grows with the corpus;
+words meet it by chunks of documents, in a row for each distinct word of a
+chunk. Each shared id keeps a count of one for words that are not counted (only
+other documents than the counted ones have any), dealt evenly to its keys.
+
+The network is trained on every window of every document: each task trains on
+its own rows, from the same start, and the tasks' weights are averaged by their
 numbers of tokens in a two-step reduction; a task holds one sum at a time.
 
 Defined results: a null or blank text has no tokens, score 0 and a null mean;
@@ -24,7 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import stored, tasks
@@ -44,6 +51,8 @@ FIRST_BATCH, GROW, BATCH = 256, 16, 16384
 BUFFER = 1 << 17
 #: Words that a task remembers or counts at a time.
 MEMO = 500_000
+#: Words from which a chunk of documents ends.
+CHUNK = 1 << 21
 SHAPES = {"embed": (len(OFFSETS), TOKENS + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "to_member": (CLASSES, WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
 
@@ -224,16 +233,20 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MODEL = "flat binary, tokens long"
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[int], np.ndarray]:
-    """The keys of the frequent words, and each token's share of the corpus."""
-    counts = word_counts(docs)
+def vocabulary(counts: DataFrame) -> tuple[list[int], np.ndarray, list[int]]:
+    """The keys of the frequent words, each token's share of the corpus, and the words of each shared id, of (key, count)."""
     top = counts.orderBy(F.desc("count"), "key").limit(TOKENS - OTHERS).collect()
     known = np.array([r["count"] for r in top], float)
-    rest = counts.agg(F.sum("count")).first()[0] if len(top) == TOKENS - OTHERS else known.sum()
+    shared = [0] * OTHERS
+    if len(top) == TOKENS - OTHERS:
+        for r in counts.groupBy(F.pmod("key", F.lit(OTHERS)).alias("id")).agg(F.sum("count").alias("count")).collect():
+            shared[r["id"]] = r["count"]
+        for r in top:
+            shared[r["key"] % OTHERS] -= r["count"]
     shares = np.full(TOKENS, 0.5)
     shares[: len(known)] += known
-    shares[TOKENS - OTHERS :] += max(0.0, float(rest or 0) - known.sum()) / OTHERS
-    return [r["key"] for r in top], shares / shares.sum()
+    shares[TOKENS - OTHERS :] += sum(shared) / OTHERS
+    return [r["key"] for r in top], shares / shares.sum(), shared
 
 
 def encoded(docs: DataFrame, keys: list[int]) -> DataFrame:
@@ -270,7 +283,7 @@ def train(texts: DataFrame, shares: np.ndarray) -> bytes:
 
 
 def score_encoded(texts: DataFrame, flat: bytes) -> DataFrame:
-    """(doc_id, n_tokens, score, mean) for each encoded text."""
+    """(doc_id, n_tokens, score, mean) for each encoded text, with its words' shares if it has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network.read(flat)
@@ -284,26 +297,128 @@ def score_encoded(texts: DataFrame, flat: bytes) -> DataFrame:
                 ends = np.cumsum(sizes)
                 sums += (running[ends] - running[ends - sizes]).tolist()
                 lengths += sizes
+            if "shares" in batch.schema.names:
+                sums = [a + b for a, b in zip(sums, batch.column("shares").to_pylist(), strict=True)]
             means = [s / n if n else None for s, n in zip(sums, lengths, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "score", "mean"])
 
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double, mean double")
 
 
+class Places(dict):
+    """Numbers of words, in the order in which they first occur."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """A row for each text (chunk, nth, doc_id, n, places), and one for each chunk (chunk, keys, counts) of its distinct words.
+
+    The texts' words are places in the chunk's keys, compressed.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, chunk, places, counts, nth = pa.Codec("zstd"), TaskContext.get().partitionId() << 32, Places(), np.zeros(0, np.int64), 0
+        names = ["chunk", "nth", "doc_id", "n", "places", "keys", "counts"]
+        lists = (pa.list_(pa.int64()), pa.list_(pa.int32()))
+
+        def listed(id_type: pa.DataType) -> pa.RecordBatch:
+            columns = [pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([[key_of(w) for w in places]], lists[0]), pa.array([counts], lists[1])], names=names)
+
+        id_type = None
+        for batch in batches:
+            ids, held, start = batch.column("doc_id"), [], 0
+            id_type = ids.type
+            for k, text in enumerate(batch.column("text"), 1):
+                words = (text.as_py() or "").lower().split()
+                held.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+                full = counts.sum() + sum(map(len, held)) >= CHUNK if len(held) % 64 == 0 or len(words) >= CHUNK else False
+                if full or k == batch.num_rows:
+                    n = len(held)
+                    packed = pa.array([codec.compress(x.tobytes(), asbytes=True) for x in held], pa.binary())
+                    columns = [pa.array(np.full(n, chunk)), pa.array(np.arange(nth, nth + n, dtype=np.int32)), ids.slice(start, n), pa.array([len(x) for x in held], pa.int32()), packed]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, lists[0]), pa.nulls(n, lists[1])], names=names)
+                    found = np.bincount(np.concatenate(held), minlength=len(places))
+                    found[: len(counts)] += counts
+                    counts, held, start, nth = found, [], start + n, nth + n
+                if full or (k == batch.num_rows and counts.sum() >= CHUNK):
+                    yield listed(id_type)
+                    chunk, places, counts, nth = chunk + 1, Places(), np.zeros(0, np.int64), 0
+        if nth:
+            yield listed(id_type)
+
+    return rows.mapInArrow(run, f"chunk long, nth int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n int, places binary, keys array<long>, counts array<int>")
+
+
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """(chunk, place, key, count) of each chunk's distinct words."""
+    words = chunks.where("keys IS NOT NULL").select("chunk", F.posexplode(F.arrays_zip("keys", "counts")).alias("place", "word"))
+    return words.select("chunk", "place", F.col("word.keys").alias("key"), F.col("word.counts").cast("long").alias("count"))
+
+
+def encoded_with_shares(chunks: DataFrame, keys: list[int], shared: list[int], counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ids, shares) of chunked texts: their tokens, and the sum of the logarithms of their words' shares of shared ids.
+
+    ``shared`` has the number of words of each shared id. Without counts, the chunks' own words are counted.
+    """
+    spark = chunks.sparkSession
+    words = chunk_words(chunks)
+    if counts is None:
+        words = words.withColumn("count", F.sum("count").over(Window.partitionBy("key")))
+    else:
+        words = words.drop("count").join(counts, "key", "left")
+    known = spark.createDataFrame([(k, i) for i, k in enumerate(keys[: TOKENS - OTHERS])], "key long, token int")
+    token = F.coalesce("token", F.pmod("key", F.lit(OTHERS)).cast("int") + (TOKENS - OTHERS)).cast("short")
+    words = words.join(F.broadcast(known), "key", "left").select(F.col("chunk").alias("of"), "place", token.alias("token"), F.coalesce("count", F.lit(0)).alias("count"))
+    totals = np.array(shared, float) + 1
+    names = ["doc_id", "ids", "shares"]
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        codec, size = pa.Codec("zstd"), words.num_rows
+        place, token, count = (words.column(c).to_numpy() for c in ("place", "token", "count"))
+        ids, logs = np.zeros(size, np.int16), np.zeros(size)
+        ids[place] = token
+        rare = token >= TOKENS - OTHERS
+        logs[place[rare]] = np.log(np.where(count[rare] > 0, count[rare], OTHERS / 2.0**64) / totals[token[rare] - (TOKENS - OTHERS)])
+        texts = texts.sort_by("nth")
+        made, sums = [], []
+        for packed, n in zip(texts.column("places"), texts.column("n").to_pylist(), strict=True):
+            at = np.frombuffer(codec.decompress(packed.as_buffer(), n * 4), np.int32) if n else np.zeros(0, np.int32)
+            made.append(ids[at].tobytes())
+            sums.append(float(logs[at].sum()))
+        return pa.Table.from_arrays([texts.column("doc_id"), pa.array(made, pa.binary()), pa.array(sums, pa.float64())], names=names)
+
+    texts = chunks.where("keys IS NULL").select("chunk", "nth", "doc_id", "n", "places")
+    schema = f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, ids binary, shares double"
+    return texts.groupBy("chunk").cogroup(words.groupBy("of")).applyInArrow(run, schema)
+
+
 def fit(docs: DataFrame) -> tuple[list[int], bytes]:
     """The keys of the frequent words, and the weights trained on all documents."""
-    keys, shares = vocabulary(docs)
+    keys, shares, _ = vocabulary(word_counts(docs))
     return keys, train(encoded(docs, keys), shares)
 
 
-def score(docs: DataFrame, model: tuple[list[int], bytes]) -> DataFrame:
-    """(doc_id, n_tokens, score, mean) for each row by a fitted model."""
+def score(docs: DataFrame, model: tuple[list[int], bytes], counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, score, mean) for each row by a fitted model.
+
+    With counts, the (key, count) of the documents that the model was fitted on,
+    the scores are those of the words; without, of their tokens only.
+    """
     keys, flat = model
-    return score_encoded(encoded(docs, keys), flat)
+    if counts is None:
+        return score_encoded(encoded(docs, keys), flat)
+    counts = stored(counts)
+    return score_encoded(encoded_with_shares(stored(chunked(docs)), keys, vocabulary(counts)[2], counts), flat)
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
-    """The scores of documents by a model trained on them, encoding each text once."""
-    keys, shares = vocabulary(docs)
-    texts = stored(encoded(docs, keys))
+    """The scores of documents' words by a model trained on them, reading each text once."""
+    chunks = stored(chunked(docs))
+    keys, shares, shared = vocabulary(chunk_words(chunks).groupBy("key").agg(F.sum("count").alias("count")))
+    texts = stored(encoded_with_shares(chunks, keys, shared))
     return score_encoded(texts, train(texts, shares))

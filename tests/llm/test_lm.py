@@ -97,3 +97,40 @@ def test_awkward_rows(awkward, no_rows):
     assert next(r.n_tokens for r in rows if r.doc_id == 7) == 60_000
     assert lm.score(no_rows, model).collect() == []
     assert len(lm.score(awkward, lm.fit(no_rows)).collect()) == awkward.count()
+
+
+def test_words_of_shared_ids_have_their_counted_shares(spark, awkward, no_rows, monkeypatch):
+    """Against the tokens' scores and the counts, for the counted documents and for others, in chunks of few words."""
+    monkeypatch.setattr(lm, "CHUNK", 5000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, "the xqzv1 the"), (-2, None), (None, "xqzv2")], "doc_id long, text string"))
+    model = lm.fit(docs)
+    top = set(model[0])
+    counts = {r.key: r["count"] for r in lm.word_counts(docs).collect()}
+    totals = [sum(n for k, n in counts.items() if k not in top and k % lm.OTHERS == b) for b in range(lm.OTHERS)]
+
+    def shares(text):
+        rare = [k for k in map(lm.key_of, (text or "").lower().split()) if k not in top]
+        return sum(math.log(counts.get(k, lm.OTHERS / 2**64) / (totals[k % lm.OTHERS] + 1)) for k in rare)
+
+    others = spark.createDataFrame([(1, "the the"), (2, "neverseen1 neverseen2"), (3, "xqzv1 xqzv2"), (4, "")], "doc_id long, text string")
+    for these in (docs, others):
+        plain = {r.doc_id: r for r in lm.score(these, model).collect()}
+        texts = {r.doc_id: r.text for r in these.collect()}
+        got = lm.score(these, model, lm.word_counts(docs)).collect()
+        assert len(got) == these.count()
+        for r in got:
+            want = plain[r.doc_id].score + shares(texts[r.doc_id])
+            assert r.n_tokens == plain[r.doc_id].n_tokens and math.isclose(r.score, want, rel_tol=1e-6, abs_tol=1e-3)
+    scores = {r.doc_id: r.score for r in got}
+    assert scores[2] < scores[3] - 20
+    keys, shares_, shared = lm.vocabulary(lm.word_counts(docs))
+    assert shared == totals
+    whole = {r.doc_id: r for r in lm.encoded_with_shares(lm.chunked(docs), keys, shared).collect()}
+    for r in docs.collect():
+        assert math.isclose(whole[r.doc_id].shares, shares(r.text), rel_tol=1e-9, abs_tol=1e-9)
+        assert whole[r.doc_id].ids == lm.Encoder(keys).encode(r.text).tobytes()
+    # The query's own path: a word met once scores worse by its share than a frequent one.
+    ours = {r.doc_id: r.score for r in lm.fit_and_score(docs).collect()}
+    assert ours[None] < -math.log(max(totals) + 1)
+    assert lm.fit_and_score(no_rows).collect() == [] and lm.fit_and_score(awkward).count() == awkward.count()
