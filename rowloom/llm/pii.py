@@ -9,7 +9,13 @@ score of MIN_SCORE on.
 Spans are places in code points, the end exclusive. A pattern's matches and the
 pieces between them add up to the text, so places are running sums of lengths.
 The patterns find what their plain forms in the comments find, but possessively
-and from the start of a run only, so no text makes them slow or deep.
+and from the start of a run only, so no text makes them slow or deep. The IBANs'
+pattern takes up an IBAN's first four characters only, and looks at what may
+follow: a country of the registry has its length, for others each length is
+tried, the longest first. An IBAN must not go on with a letter or digit, and
+does not begin within another one.
+
+Context is the text's own on either side of a span, whatever else is found there.
 
 Defined results: a null text is an empty one, with no spans; empty tables give
 empty results; rows are independent, so repeated rows and null ids keep a row
@@ -38,11 +44,19 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # [A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # [A-Z]{2}[0-9]{2}, and ahead of it the group (\x20?[A-Z0-9]){11,30}[A-Za-z0-9]?
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}",
     # [0-9]{3}-[0-9]{2}-[0-9]{4}
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+# The lengths of IBANs in the registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Characters that a match takes up, where it isn't all of it.
+TAKES = {"iban": 4}
 # What a text must hold (nothing: any) for the pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "iban": "", "ssn": "-"}
 # Context words by kind, in lower case.
@@ -90,19 +104,27 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
+def _iban(ahead: Column) -> Column:
+    """The IBAN that begins what the pattern saw ahead, or null."""
+    lengths = F.create_map(*(F.lit(x) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for x in (c, n)))
+    own = F.try_element_at(lengths, F.left(ahead, F.lit(2)))
+    tried = F.when(own.isNotNull(), F.array(own)).otherwise(F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
+    cut = lambda n: F.regexp_substr(ahead, F.concat(F.lit(r"\A(?:[A-Z0-9]\x20?){"), (n - 1).cast("string"), F.lit("}[A-Z0-9](?![A-Za-z0-9])")))
+    return F.get(F.filter(F.transform(tried, cut), lambda c: F.when(c.isNotNull(), mod97(F.replace(c, F.lit(" "), F.lit("")))).otherwise(False)), F.lit(0))
+
+
 def _confirmed(kind: str, match: Column) -> Column:
     """The kind that a match of the pattern is, or null."""
     digits = _digits(match)
     n = F.length(digits)
     byte = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-    plain = F.replace(match, F.lit(" "), F.lit(""))
     as_is = F.lit(kind)
     return {
         "email": as_is,
         "ip": F.when(match.rlike(rf"\A(?:{byte}\.){{3}}{byte}\z"), as_is),
         "card": F.when(n.between(13, 19), F.when(luhn(digits), F.when(n >= 16, as_is).otherwise("card_short"))),
         "phone": F.when(n.between(8, 15), as_is),
-        "iban": F.when(F.length(plain).between(15, 34), F.when(mod97(plain), as_is)),
+        "iban": F.when(match.isNotNull(), as_is),
         "ssn": F.when(~match.rlike("\\A(?:000|666|9)|-00-|-0000\\z"), as_is),
     }[kind]
 
@@ -114,6 +136,26 @@ def _score(kind: Column, around: Column) -> Column:
     return out
 
 
+def _scored(text: Column, found: Column) -> Column:
+    """found, an array of (kind, start, end) in order, with scores; each chunk's context is cut from its stretch of the text."""
+
+    def score_chunk(chunk: Column) -> Column:
+        base = F.greatest(F.lit(0), chunk[0]["start"] - CONTEXT)
+        stretch = F.substr(text, base + 1, F.element_at(chunk, -1)["end"] + CONTEXT - base)
+
+        def score(x: Column, s: Column) -> Column:
+            first = F.greatest(F.lit(0), x["start"] - CONTEXT)
+            before = F.substr(s["stretch"], first - s["base"] + 1, x["start"] - first)
+            around = F.lower(F.concat(before, F.lit(" "), F.substr(s["stretch"], x["end"] - s["base"] + 1, F.lit(CONTEXT))))
+            # A transform evaluates what it goes over once.
+            return F.transform(F.array(around), lambda a: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _score(x["kind"], a).alias("score")))[0]
+
+        return F.flatten(F.transform(F.array(F.struct(base.alias("base"), stretch.alias("stretch"))), lambda s: F.transform(chunk, lambda x: score(x, s))))
+
+    last = F.ceil(F.size(found) / CHUNK).cast("int") - 1
+    return F.when(F.size(found) > 0, F.flatten(F.transform(F.sequence(F.lit(0), last), lambda c: F.flatten(F.transform(F.array(F.slice(found, c * CHUNK + 1, CHUNK)), score_chunk)))))
+
+
 def spans(docs: DataFrame, out: str = "spans") -> DataFrame:
     """docs with an array of (kind, start, end, score), by kind as in KINDS, then start."""
     names = {k: f"__pii_{k}" for k in PATTERNS}
@@ -122,21 +164,23 @@ def spans(docs: DataFrame, out: str = "spans") -> DataFrame:
     # Each step is a projection of its own whose columns the next one uses more than once, so that no pattern runs twice.
     for k, pattern in PATTERNS.items():
         there = (F.contains(text, F.lit(NEEDS[k])) if NEEDS[k] else F.lit(True)) & text.rlike(pattern)
-        rows = rows.withColumn(f"{names[k]}_found", F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+        rows = rows.withColumn(f"{names[k]}_found", F.when(there, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), _iban) if k == "iban" else F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
         rows = rows.withColumn(f"{names[k]}_parts", F.when(F.col(f"{names[k]}_found").isNotNull(), F.split(text, pattern, -1)))
     for name in names.values():
         found, parts = F.col(f"{name}_found"), F.col(f"{name}_parts")
-        sides = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.struct(F.length(a).alias("gap"), F.lower(F.concat(F.right(a, F.lit(CONTEXT)), F.lit(" "), F.left(F.coalesce(b, F.lit("")), F.lit(CONTEXT)))).alias("around")))
-        rows = rows.withColumn(name, F.zip_with(found, F.slice(sides, F.lit(1), F.size(found)), lambda m, s: F.struct(m.alias("match"), s["gap"].alias("gap"), s["around"].alias("around"))))
-    rows = rows.drop("__pii_text", *(f"{n}_{x}" for n in names.values() for x in ("found", "parts")))
+        rows = rows.withColumn(name, F.zip_with(found, F.slice(parts, F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("match"), F.length(gap).alias("gap"))))
+    rows = rows.drop(*(f"{n}_{x}" for n in names.values() for x in ("found", "parts")))
     span = "struct<kind:string,start:int,end:int,score:double>"
 
     def chunks(name: str) -> Column:
         count = F.ceil(F.size(name) / CHUNK).cast("int")
         return F.when(F.size(name) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(name, c * CHUNK + 1, CHUNK)))
 
-    def begins(name: str) -> Column:
-        wide = F.transform(F.col(name), lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + p["gap"] + F.length(p["match"])))
+    def takes(kind: str, match: Column) -> Column:
+        return F.lit(TAKES[kind]) if kind in TAKES else F.length(match)
+
+    def begins(kind: str, name: str) -> Column:
+        wide = F.transform(F.col(name), lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + p["gap"] + takes(kind, p["match"])))
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
         return F.aggregate(wide, start, lambda a, w: F.struct((a["at"] + w).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
 
@@ -144,25 +188,34 @@ def spans(docs: DataFrame, out: str = "spans") -> DataFrame:
         def step(a: Column, p: Column) -> Column:
             start = a["at"] + p["gap"]
             end = start + F.length(p["match"])
-            found = F.struct(_confirmed(kind, p["match"]).alias("kind"), start.alias("start"), end.alias("end"), p["around"].alias("around"))
-            return F.struct(end.alias("at"), F.concat(a["all"], F.filter(F.array(found), lambda x: x["kind"].isNotNull())).alias("all"))
+            found = F.struct(_confirmed(kind, p["match"]).alias("kind"), start.alias("start"), end.alias("end"))
+            return F.struct((start + takes(kind, p["match"])).alias("at"), F.concat(a["all"], F.filter(F.array(found), lambda x: x["kind"].isNotNull())).alias("all"))
 
-        begun = F.struct(begin.alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,around:string>>").alias("all"))
-        return F.transform(F.aggregate(chunk, begun, step)["all"], lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _score(x["kind"], x["around"]).alias("score")))
+        begun = F.struct(begin.alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("all"))
+        return F.aggregate(chunk, begun, step)["all"]
 
     def walk_all(kind: str, name: str) -> Column:
         return F.flatten(F.zip_with(f"{name}_chunks", f"{name}_begins", lambda c, b: walk(kind, c, b)))
 
-    for name in names.values():
-        rows = rows.withColumn(f"{name}_chunks", chunks(name)).withColumn(f"{name}_begins", begins(f"{name}_chunks"))
+    def apart(found: Column) -> Column:
+        """Without those that begin within one before."""
+        begun = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("all"))
+        step = lambda a, x: F.when(x["start"] >= a["upto"], F.struct(x["end"].alias("upto"), F.concat(a["all"], F.array(x)).alias("all"))).otherwise(a)
+        return F.aggregate(found, begun, step)["all"]
+
+    for kind, name in names.items():
+        rows = rows.withColumn(f"{name}_chunks", chunks(name)).withColumn(f"{name}_begins", begins(kind, f"{name}_chunks"))
     none = F.array().cast(f"array<{span}>")
     for kind, name in names.items():
-        rows = rows.withColumn(f"{name}_spans", F.coalesce(walk_all(kind, name), none))
+        walked = walk_all(kind, name)
+        rows = rows.withColumn(f"{name}_walked", apart(walked) if kind in TAKES else walked)
+    for name in names.values():
+        rows = rows.withColumn(f"{name}_spans", F.coalesce(_scored(text, F.col(f"{name}_walked")), none))
     cards = F.col(f"{names['card']}_spans")
     base = [F.filter(cards, lambda x: x["kind"] == "card") if k == "card" else F.col(f"{names[k]}_spans") for k in BASE]
     extra = F.filter(F.concat(F.col(f"{names['iban']}_spans"), F.col(f"{names['ssn']}_spans"), F.filter(cards, lambda x: x["kind"] == "card_short")), lambda x: x["score"] >= MIN_SCORE)
-    made = [f"{n}{x}" for n in names.values() for x in ("", "_chunks", "_begins", "_spans")]
-    return rows.withColumn(out, F.concat(*base, extra)).drop(*made)
+    made = [f"{n}{x}" for n in names.values() for x in ("", "_chunks", "_begins", "_walked", "_spans")]
+    return rows.withColumn(out, F.concat(*base, extra)).drop("__pii_text", *made)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -110,3 +110,26 @@ def test_redaction_of_many_spans(spark, monkeypatch):
                 out.append(texts[r.doc_id][upto:a] + f"[{kind.upper()}]")
             upto = max(upto, b)
         assert r.text == "".join(out) + texts[r.doc_id][upto:]
+
+
+def listed(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.spans for r in sorted(pii.digest(pii.spans(df)).collect(), key=lambda r: r.doc_id)]
+
+
+def test_ibans_before_words(spark, monkeypatch):
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    other = "ZZ" + f"{98 - int('12345678901234567' + '353500') % 97:02d}" + "12345678901234567"  # a country that isn't listed
+    texts = [f"{de} Danke", f"{gb} Please", f"IBAN {de} BIC COBADEFFXXX", f"{de} {gb} {no}", f"{other} QRS", f"{de}X", f"{de}x", f"x{de}", f"AB12 CDEF GHIJ KLMN {de} OK", f"{de[:-1]}1 Danke", f"{other} X1 {no} Y"]
+    want = ["iban:0:22", "iban:0:27", "iban:5:27", "iban:0:22,iban:23:50,iban:51:66", "iban:0:21", "", "", "", "iban:20:42", "", "iban:0:21,iban:25:40"]
+    assert listed(spark, texts) == want
+    monkeypatch.setattr(pii, "CHUNK", 2)
+    assert listed(spark, texts) == want
+
+
+def test_context_reaches_over_other_proposals(spark, monkeypatch):
+    texts = ["ssn 123-45-6789, 234-56-7890", "amex exp 12/2027: 378282246310005", "123-45-6789 234-56-7890 are ssn", "ssn" + " " * 38 + "123-45-6789", "ssn" + " " * 37 + "123-45-6789", "é𝒳 " * 30 + "ssn 123-45-6789 234-56-7890 345-67-8901"]
+    want = ["ssn:4:15,ssn:17:28", "card_short:18:33", "ssn:0:11,ssn:12:23", "", "ssn:40:51", "ssn:94:105,ssn:106:117,ssn:118:129"]
+    assert listed(spark, texts) == want
+    monkeypatch.setattr(pii, "CHUNK", 2)
+    assert listed(spark, texts) == want
