@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.sources.scratch import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NULL_ID = 2**63 - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
-
-    It is the session's ``spark.checkpoint.dir``; only a session that names none
-    (as in tests, on one machine) gets a folder of its own.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if not named and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rowloom-checkpoint-"))
-    return named or context._jsc.sc().getCheckpointDir().get()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder."""
     shared_folder(df.sparkSession)

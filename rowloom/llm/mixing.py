@@ -18,7 +18,8 @@ Defined results: a null text has size 0; documents of size 0 take nothing;
 rows with a null source form a source, the last in order; rows that agree in
 source, doc_id and size share their copies out as evenly as whole copies can;
 sources of size 0 have target 0; an empty table gives an empty result; columns
-other than doc_id, source and text are ignored.
+other than doc_id, source and text are ignored by ``mix`` and kept by
+``applied``, but for those that it names itself.
 """
 
 from __future__ import annotations
@@ -131,8 +132,8 @@ def _land(rounded: DataFrame, settled: DataFrame, aims: DataFrame, n: int) -> Da
     return turned.select("source", "order", "doc_id", "size", "count", "whole", up.alias("up"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for each row."""
+def _decided(docs: DataFrame, weights: tuple, share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """(source, doc_id, size, count, copies) of the rows that agree in these, and (s, source_size, target)."""
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
     units = stored(rows.groupBy("source", "doc_id", "size").count())
     aims = stored(targets(units, weights, share, most))
@@ -175,6 +176,44 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         for _ in range(LANDINGS):
             last = _land(last, settled, aims, n)
         decided = settled.union(last.select("source", "doc_id", "size", "count", (F.col("whole") + F.col("up")).alias("copies")))
+    return decided, aims
+
+
+def _of_one(copies: Column, count: Column, k: Column) -> Column:
+    """What the k-th (from 1) of count rows has of their copies."""
+    return (F.floor(copies / count) + (k <= copies % count).cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for each row."""
+    decided, aims = _decided(docs, weights, share, most)
     each = decided.select("source", "doc_id", "size", "count", "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("k"))
-    each = each.select("source", "doc_id", "size", (F.floor(F.col("copies") / F.col("count")) + (F.col("k") <= F.col("copies") % F.col("count")).cast("long")).cast("long").alias("copies"))
+    each = each.select("source", "doc_id", "size", _of_one(F.col("copies"), F.col("count"), F.col("k")).alias("copies"))
     return each.join(aims, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+FIGURES = ("size", "source_size", "target", "copies", "taken")
+
+
+def applied(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """docs with its columns and those of FIGURES, which replace columns of their names."""
+    decided, aims = _decided(docs, weights, share, most)
+    kept = [c for c in docs.columns if c not in FIGURES]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col("source").cast("string").alias("__s"), F.col("doc_id").alias("__d"), size_of(F.col("text").cast("string")).alias("__n"))
+    plan = stored(decided).select(F.col("source").alias("__ps"), F.col("doc_id").alias("__pd"), F.col("size").alias("__pn"), F.col("count").alias("__count"), F.col("copies").alias("__copies"))
+    met = rows.join(plan, F.col("__s").eqNullSafe(F.col("__ps")) & F.col("__d").eqNullSafe(F.col("__pd")) & (F.col("__n") == F.col("__pn"))).drop("__ps", "__pd", "__pn")
+    out = met.where("__count = 1").withColumn("__own", F.col("__copies"))
+    several = plan.where("__count > 1").limit(1).count()
+    if several:
+        # Rows that agree are numbered by where they are stored, each partition on from those before it, so no group is brought together.
+        part = stored(met.where("__count > 1").withColumn("__part", F.spark_partition_id()))
+        group = ["__s", "__d", "__n"]
+        sizes = part.groupBy(*group, "__part").agg(F.count("*").alias("__rows"))
+        before = sizes.withColumn("__before", F.sum("__rows").over(Window.partitionBy(*group).orderBy("__part")) - F.col("__rows")).select(*(F.col(c).alias(f"{c}_") for c in (*group, "__part")), "__before")
+        same = (F.col("__part") == F.col("__part_")) & (F.col("__n") == F.col("__n_")) & F.col("__s").eqNullSafe(F.col("__s_")) & F.col("__d").eqNullSafe(F.col("__d_"))
+        nth = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(F.xxhash64("text")))
+        numbered = part.withColumn("__k", nth).join(before, same).withColumn("__own", _of_one(F.col("__copies"), F.col("__count"), F.col("__before") + F.col("__k")))
+        out = out.unionByName(numbered.select(*out.columns))
+    out = out.join(aims, F.col("__s").eqNullSafe(F.col("s")), "left")
+    figures = {"size": F.col("__n"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("__own"), "taken": F.col("__own") * F.col("__n")}
+    return out.select(*(F.col(f"`{c}`") for c in kept), *(v.alias(k) for k, v in figures.items()))

@@ -5,10 +5,12 @@ fingerprints are merged first. Two fingerprints within three differing bits
 agree in at least one of four 16-bit blocks, so the trie is entered four times,
 at the depth-16 nodes of each block, and below them pairs of nodes are walked
 together: a pair carries the bits that differ so far and is pruned as soon as
-they exceed the budget. A trie node with very many fingerprints is dealt in
-chunks, each pair of chunks to a task of its own. Tasks return a spanning
-forest of what they linked, never all pairs, and the forests are merged by
-distributed connected components.
+they exceed the budget. A node with very many fingerprints is entered again 12
+bits below, at four nodes of its other 48 bits by the same argument, so that a
+fingerprint is dealt at most 16 times while it has few near it; what is still
+heavy there, a crowd of near copies, is dealt in chunks, each pair of chunks to
+a task of its own. Tasks return a spanning forest of what they linked, never all
+pairs, and the forests are merged by distributed connected components.
 
 Defined results: a null text has no words and so fingerprint zero, like an
 empty one; rows with a null doc_id take part, and a component's id is its
@@ -20,11 +22,12 @@ ignored by ``classes`` and kept untouched by ``keep_one``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import NULL_ID, stored, tasks
@@ -68,13 +71,14 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         marks = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), marks], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), marks], names=["doc_id", "twin", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id long, fp long) for each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprinted, "doc_id long, fp long")
+    """(doc_id long, twin long, fp long) for each row; twin is a hash that tells apart texts of one doc_id."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("twin"), text.alias("text"))
+    return rows.mapInArrow(_fingerprinted, "doc_id long, twin long, fp long")
 
 
 def _expand(lo_a, hi_a, lo_b, hi_b):
@@ -171,35 +175,72 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(True)
 
 
-def near_links(reps: DataFrame) -> DataFrame:
-    """(src, dst) links between the reps of distinct fingerprints (fp, rep) that are near."""
-    blocks = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF).cast("int").alias("value")) for k in range(BLOCKS))))
-    cells = reps.select("fp", "rep", blocks.alias("c")).select("fp", "rep", "c.block", "c.value")
+def _cells(reps: DataFrame) -> DataFrame:
+    """(block, value, fp, rep): the depth-16 trie nodes of each fingerprint."""
+    blocks = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF).alias("value")) for k in range(BLOCKS))))
+    return reps.select("fp", "rep", blocks.alias("c")).select("c.block", "c.value", "fp", "rep")
+
+
+def _deeper(cells: DataFrame) -> DataFrame:
+    """The nodes 12 bits below depth-16 nodes: those within the budget agree in one of four blocks of the other 48 bits, too."""
+
+    def below(k: int) -> Column:
+        s = 16 * (k + 1) % 64  # turned so that the other bits come lowest
+        turned = F.shiftrightunsigned("fp", s).bitwiseOR(F.shiftleft("fp", 64 - s)) if s else F.col("fp")
+        parts = [F.struct(F.lit(BLOCKS * (j + 1) + k).alias("block"), (F.col("value") + F.shiftleft(F.shiftrightunsigned(turned, 12 * j).bitwiseAND(0xFFF), 16)).alias("value")) for j in range(BLOCKS)]
+        return F.array(*parts)
+
+    lists = reduce(lambda out, k: F.when(F.col("block") == k, below(k)).otherwise(out), range(1, BLOCKS), below(0))
+    return cells.select(F.explode(lists).alias("c"), "fp", "rep").select("c.block", "c.value", "fp", "rep")
+
+
+def _heavy(cells: DataFrame) -> tuple[DataFrame, int]:
+    """(block, value, chunks) of nodes with more than NODE_LIMIT fingerprints, and their number."""
     heavy = stored(cells.groupBy("block", "value").count().where(F.col("count") > NODE_LIMIT).select("block", "value", F.ceil(F.col("count") / NODE_LIMIT).cast("int").alias("chunks")))
     n = heavy.count()
+    return (F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy), n
+
+
+def dealt(reps: DataFrame) -> DataFrame:
+    """(block, value, i, j, side, fp, rep): the fingerprints of each node, those of heavy nodes in nodes below or at last in pairs of chunks."""
+    cells = _cells(reps)
+    heavy, n = _heavy(cells)
+    chunks = F.lit(1)
     if n:
-        cells = cells.join(F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy, ["block", "value"], "left")
-    else:
-        cells = cells.withColumn("chunks", F.lit(1))
-    dealt = (
-        cells.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        deep = stored(_deeper(cells.join(heavy, ["block", "value"], "left_semi")))
+        cells = cells.join(heavy, ["block", "value"], "left_anti").union(deep)
+        heavy, n = _heavy(deep)
+        if n:
+            cells, chunks = cells.join(heavy, ["block", "value"], "left"), F.coalesce("chunks", F.lit(1))
+    return (
+        cells.withColumn("chunks", chunks)
         .withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("block", "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp", "rep")
     )
+
+
+def near_links(reps: DataFrame) -> DataFrame:
+    """(src, dst) links between the reps of distinct fingerprints (fp, rep) that are near."""
     order = F.col("fp").bitwiseXOR(F.lit(-(2**63)))  # unsigned
-    dealt = dealt.repartition(tasks(reps), "block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j", "side", order)
-    return dealt.mapInArrow(_links, "src long, dst long")
+    rows = dealt(reps).repartition(tasks(reps), "block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j", "side", order)
+    return rows.mapInArrow(_links, "src long, dst long")
 
 
-def mark_classes(marks: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of stored (doc_id, fp)."""
-    reps = stored(marks.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("low")))
+def _labelled(marks: DataFrame) -> DataFrame:
+    """(fp, low, label) for each distinct fingerprint of stored marks; low is its smallest (doc_id, twin), null ids last."""
+    low = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "twin"))
+    reps = stored(marks.groupBy("fp").agg(low.alias("low")))
     # A rep must be unique; a null or shared doc_id isn't, so fingerprints stand for themselves.
     labels = connected_components(near_links(reps.select("fp", F.col("fp").alias("rep"))))
-    grouped = stored(reps.join(labels, reps.fp == labels.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label")))
+    return stored(reps.join(labels, reps.fp == labels.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label")))
+
+
+def mark_classes(marks: DataFrame) -> DataFrame:
+    """(fp, component_id) for each distinct fingerprint of stored marks."""
+    grouped = _labelled(marks)
     # Stored, so that the join can split a class with very many fingerprints.
-    lows = stored(grouped.groupBy("label").agg(F.min("low").alias("component_id")))
+    lows = stored(grouped.groupBy("label").agg(F.min("low.doc_id").alias("component_id")))
     return grouped.join(lows, "label").select("fp", F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"))
 
 
@@ -210,13 +251,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with its columns, that are the smallest doc_id of their class.
+    """One row of docs, with its columns, of each class: that of the smallest doc_id (null last), of these that of the smallest hash of the text.
 
-    Of repeated rows with that doc_id one stays. Rows with a null doc_id stay,
-    since a class can't name them.
+    Of rows that agree in doc_id and text one stays.
     """
     marks = stored(fingerprints(docs))
-    kept = mark_classes(marks).select(F.col("component_id").alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    named = rows.where("__id IS NOT NULL").join(kept, "__id", "left_semi").dropDuplicates(["__id"])
-    return named.unionByName(rows.where("__id IS NULL")).drop("__id")
+    picks = _labelled(marks).groupBy("label").agg(F.min("low").alias("low")).select(F.nullif("low.doc_id", F.lit(NULL_ID)).alias("__d"), F.col("low.twin").alias("__t"))
+    own, twin = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    rows = docs.withColumn("__id", own).withColumn("__twin", twin)
+    return rows.join(picks, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__twin") == F.col("__t")), "left_semi").dropDuplicates(["__id", "__twin"]).drop("__id", "__twin")

@@ -34,7 +34,7 @@ def frame(spark, rows):
 
 
 def test_recall_on_real_vectors(spark):
-    for base in (SF.replace("0.001", "0.1"), "/root/testdata/check_s"):
+    for base in (SF, SF.replace("0.001", "0.1")):
         df = spark.read.parquet(f"{base}/embeddings.parquet")
         want = plain([(r.vec_id, r.embedding) for r in df.collect()])
         rows = got(df)

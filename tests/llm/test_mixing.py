@@ -92,3 +92,18 @@ def test_repeated_rows_share_their_copies(spark):
 def test_sources_without_words(spark):
     docs = spark.createDataFrame([(1, "", "s"), (2, None, "t")], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix(docs).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_applied_keeps_rows_and_columns(spark, awkward, no_rows):
+    docs = awkward.union(awkward).repartition(5)
+    key = lambda r: (str(r.doc_id), str(r.source), r.size)
+    rows = mixing.applied(docs).collect()
+    assert rows and [r.asDict()["size"] for r in rows] == [len(re.findall(mixing.WORD, r.text or "")) for r in rows]
+    figures = lambda rows: sorted((*key(r), r.source_size, r.target, r.copies, r.taken) for r in rows)
+    assert figures(rows) == figures(mixing.mix(docs).collect())
+    assert set(mixing.applied(docs).columns) == {*docs.columns, *mixing.FIGURES}
+    kept = [c for c in docs.columns if c not in mixing.FIGURES]
+    assert sorted(map(str, docs.select(kept).collect())) == sorted(map(str, mixing.applied(docs).select(kept).collect()))
+    assert mixing.applied(no_rows).collect() == []
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    assert figures(mixing.applied(real).collect()) == figures(mixing.mix(real).collect())

@@ -58,6 +58,10 @@ def test_run_against_brute_force(spark):
         assert r.target == pytest.approx(targets[r.source]) and 0 < r.copies <= 2 and r.taken == r.copies * r.size
         taken[r.source] += r.taken
     assert len({r.doc_id for r in rows}) == len(rows)
+    given = {d["doc_id"]: d for d in docs}
+    for r in rows:
+        d = given[r.doc_id]
+        assert (r.text, r.lang, r.source) == (d["text"], d["lang"], d["source"]) and r.n_chars in (d["n_chars"], len(d["text"]))
     sure = {d for d in words if words[d] and targets[sources[d]] >= sizes[sources[d]]}
     assert sure <= {r.doc_id for r in rows}
     for source, n in taken.items():
@@ -70,7 +74,17 @@ def test_stages_keep_the_columns_of_documents(spark, awkward, no_rows):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
             out.collect()
-        corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert set(docs.columns) <= set(corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns)
+
+
+def test_unlike_texts_of_one_id_and_a_folder_of_ones_own(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()
+    rows = [(1, d.text + f" unlike {k}", d.lang, d.source, d.n_chars) for k, d in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path), str(tmp_path / "out"))
+    left = {re.sub(r"\[[A-Z_]+\]", "", r.text)[:40] for r in out.collect()}
+    assert out.count() >= 10 and len(left) >= 10 and [p.name for p in (tmp_path / "out").iterdir()] == ["4-source_mixing"]
 
 
 def test_clean_documents_stay(spark):

@@ -69,7 +69,7 @@ def test_awkward_rows(awkward, no_rows):
 
 
 def test_heavy_nodes_are_dealt_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "NODE_LIMIT", 8)
+    monkeypatch.setattr(simhash, "NODE_LIMIT", 4)
     rng = np.random.default_rng(0)
     centre = int(rng.integers(1 << 62))
     marks = sorted({centre ^ sum(1 << int(b) for b in rng.choice(62, 2, replace=False)) for _ in range(300)} | {int(x) for x in rng.integers(1 << 62, size=200)})
@@ -110,5 +110,25 @@ def test_components_of_a_long_chain(spark):
 def test_keep_one(awkward, no_rows):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 6, 7, 8, 9, None, None], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 6, 7, 8, 9, None], key=str)
     assert simhash.keep_one(no_rows).collect() == []
+
+
+def test_keep_one_tells_unlike_texts_of_one_id_apart(spark):
+    rng = random.Random(2)
+    one, other = (" ".join(f"w{rng.randrange(500)}" for _ in range(200)) for _ in range(2))
+    docs = spark.createDataFrame([(1, one), (1, other), (1, one), (2, other + " end"), (None, "alone here now"), (None, "alone here now"), (None, one)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(1, one), (1, other), (0, "alone here now")])
+
+
+def test_fingerprints_of_crowded_nodes_are_dealt_below(spark, monkeypatch):
+    """Unrelated fingerprints meet in few nodes however many share a block; only a crowd of near copies is dealt in chunks."""
+    monkeypatch.setattr(simhash, "NODE_LIMIT", 16)
+    rng = np.random.default_rng(3)
+    marks = np.unique((rng.integers(1 << 47, size=2000) << 16) | 77).tolist()  # all of one value in a block
+    df = spark.createDataFrame([(m, m) for m in marks], "fp long, rep long")
+    assert simhash.dealt(df).count() <= 7 * len(marks)  # three light blocks, and four nodes below the heavy one
+    near = marks[:40] + [marks[k] ^ (1 << 20) ^ (1 << 40) ^ (1 << 60) for k in range(40)]
+    links = connected_components(simhash.near_links(spark.createDataFrame([(m, m) for m in sorted({*marks, *near})], "fp long, rep long"))).collect()
+    labels = {r.node: r.label for r in links}
+    assert all(labels[near[k]] == labels[near[k + 40]] for k in range(40))
