@@ -1,143 +1,185 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-1. The windows of the benchmark items (ten consecutive words; a shorter item
-   whole) are listed, and the corpus frequency of all their terms is counted.
-2. Each window is looked up by its rarest term. For these terms the index
-   stores a posting per occurrence: document, position, and the words around
-   it. A posting of the empty term stores each document's length.
-3. Postings meet the windows of their term. The lists of a window's other terms
-   are intersected in place, offset-adjusted, on the words around the posting:
-   all in place is a phrase match, most within a few words a proximity match.
-
-The benchmark is dealt in blocks of at most BLOCK_WINDOWS windows, and only the
-windows of one block are broadcast at a time. Nothing is keyed by a term or a
-passage, so a passage that many documents share puts no load on one task.
+1. The benchmark's windows (ten consecutive words of an item; a shorter item
+   whole) and their terms are numbered.
+2. The index stores a posting for each occurrence of any of these terms in the
+   corpus: term, document and position. Documents are split into words once,
+   whatever the benchmark's size. The corpus frequencies of terms are counts of
+   the index; they rank the terms of each window, the rarest first.
+3. The lists of a window's terms are intersected from the rarest: its postings,
+   adjusted by the term's offset, are the places where the window may begin, and
+   the list of the next term keeps those at which it stands in its place, too.
+   The NEAR_TERMS rarest terms within SLOP words of their places make a
+   proximity match, all terms in place a phrase match.
+4. Windows that match name the items that hold them.
+
+Lists are joined on document, term and position, so no term, passage or window
+that is very frequent makes a hot key; equal postings of repeated rows are merged
+before they meet. Windows and terms are broadcast up to a checked number, and
+joined by shuffle beyond it; items never are.
 
 Defined results: null texts have no words; documents without words give a row
 with zeros; items without words never occur; repeated items with one id count
 once, a null item_id counts as the id ''; rows that agree in doc_id and text
 share their figures and each get a row, others with one doc_id are told apart;
-an empty benchmark leaves every document clean; other columns are ignored by
-``contamination`` and kept by ``drop_contaminated``.
+an empty benchmark leaves every document clean; equally frequent terms rank by
+their places; other columns are ignored by ``contamination`` and kept by
+``drop_contaminated``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rowloom.llm.common import ascii_lower, stored
+from rowloom.sources import files
+from rowloom.sources.scratch import scratch_folder
 
 WINDOW = 10
 #: A run of what isn't in \x00-\x2F, \x3A-\x60 and \x7B-\x7F, said by what is in: Java matches negated ranges several times slower.
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
-#: Windows (some 200 bytes each) that are broadcast at once, and ten times as many counts of terms (16 bytes each).
-BLOCK_WINDOWS = 50_000
+#: The rarest terms of a window that a proximity match needs, and how many words off its place each may stand.
+NEAR_TERMS, SLOP = 4, 2
+#: Terms of exact matches that are met one by one; the others are met together.
+ONE_BY_ONE = 3
+#: Rows of windows, terms or places (some 50 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+PLACE = ["d", "twin", "wid", "start"]
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(w array of words, items): the distinct windows of (item_id, text)."""
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def windows(benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (wid, w array of words) of (item_id, text), and (wid, item); both stored."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text").cast("string")).alias("all"))
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - (width - 1))))
     cut = items.where(F.size("all") > 0).select("item", "all", starts.alias("at")).select("item", F.slice("all", F.col("at"), width).alias("w"))
-    return cut.groupBy("w").agg(F.collect_set("item").alias("items"))
-
-
-def _tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin, all, n) and a row for each word (at, from 1) and for the empty term at 0."""
-    text = F.col("text").cast("string")
-    read = docs.select(F.col("doc_id"), F.xxhash64(text).alias("twin"), words(text).alias("all"))
-    # The outer form: else Catalyst tests the array for rows below, and splits each text twice.
-    return read.select("doc_id", "twin", "all", F.size("all").alias("n"), F.posexplode_outer(F.concat(F.array(F.lit("")), F.col("all"))).alias("at", "term"))
-
-
-def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, count) of the terms (key: their XXH64) that documents have."""
-    found = _tokens(docs).select(F.xxhash64("term").alias("key")).join(F.broadcast(terms), "key")
-    return found.groupBy("key").count()
-
-
-def lookups(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, windows): the windows to look up by each term, as the place of the term, the words and the items."""
-    placed = wins.select("w", "items", F.posexplode("w").alias("at", "term")).withColumn("key", F.xxhash64("term"))
-    rated = placed.join(F.broadcast(counts), "key", "left").select("w", "items", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "key").alias("rate"))
-    rarest = rated.groupBy("w", "items").agg(F.min("rate").alias("rate")).where("rate.count > 0")
-    return rarest.groupBy("rate.key").agg(F.collect_list(F.struct(F.col("rate.at").alias("at"), "w", "items")).alias("windows"))
-
+    wins = stored(cut.select("w").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    return wins, stored(cut.join(wins, "w").select("wid", "item").distinct())
 
-def postings(docs: DataFrame, terms: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The index for terms (key): (key, doc_id, twin, at, n, first, around), around beginning at word first."""
-    empty = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("key"))
-    first = F.greatest(F.lit(1), F.col("at") - (width - 1))
-    found = _tokens(docs).withColumn("key", F.xxhash64("term")).join(F.broadcast(terms.select("key").union(empty)), "key")
-    around = F.when(F.col("at") > 0, F.slice("all", first, F.col("at") + width - first))
-    return found.select("key", "doc_id", "twin", "at", "n", first.alias("first"), around.alias("around"))
 
+def _keyed(docs: DataFrame) -> tuple[Column, Column]:
+    """A row's keys d and twin, neither ever null: its doc_id, and a hash of whether that is null and of the text."""
+    own = F.col("doc_id")
+    return F.coalesce(own, F.lit("0").cast(docs.schema["doc_id"].dataType)), F.xxhash64(own.isNull(), F.col("text").cast("string"))
 
-def phrases(index: DataFrame, looked_up: DataFrame) -> DataFrame:
-    """(doc_id, twin, start, width, items): the places where a whole window occurs; start counts from 1."""
-    met = index.where("at > 0").join(F.broadcast(looked_up), "key")
-    begin = lambda w: F.col("at") - w["at"]
-    exact = lambda w: (begin(w) >= F.col("first")) & (F.slice("around", F.greatest(F.lit(1), begin(w) - F.col("first") + 1), F.size(w["w"])) == w["w"])
-    return met.select("doc_id", "twin", "at", F.explode(F.filter("windows", exact)).alias("m")).select("doc_id", "twin", (F.col("at") - F.col("m.at")).alias("start"), F.size("m.w").alias("width"), "m.items")
 
+def indexed(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """(term, d, twin, at, n, nil): a posting for each occurrence of the terms (term, tid), at from 1; each row has one of tid -1 at 0.
 
-def proximity(index: DataFrame, looked_up: DataFrame, slop: int = 2, share: float = 0.8) -> DataFrame:
-    """(doc_id, twin, at, found, items): windows of which at least the share of words stand within slop of their places.
-
-    The window's rarest term stands at word ``at``; ``found`` is the number of its words found.
+    n is the number of the document's words; nil tells that its doc_id is null.
+    """
+    d, twin = _keyed(docs)
+    read = docs.select(d.alias("d"), twin.alias("twin"), F.col("doc_id").isNull().alias("nil"), words(F.col("text").cast("string")).alias("all"))
+    # The outer form: else Catalyst tests the array for rows below, and splits each text twice.
+    found = read.select("d", "twin", "nil", F.size("all").alias("n"), F.posexplode_outer(F.concat(F.array(F.lit("")), F.col("all"))).alias("at", "term"))
+    none = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).cast("long").alias("tid"))
+    return found.join(_small(terms.union(none), n_terms), "term").select("tid", "d", "twin", "at", "n", "nil")
+
+
+def ranked(wins: DataFrame, terms: DataFrame, n_terms: int, index: DataFrame) -> DataFrame:
+    """(wid, rank, tid, off, size): the terms of each window that the corpus can hold, the rarest first."""
+    counts = stored(index.groupBy("tid").count())
+    placed = wins.select("wid", F.size("w").alias("size"), F.posexplode("w").alias("off", "term")).join(_small(terms, n_terms), "term")
+    rated = placed.join(_small(counts, n_terms), "tid", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    own = Window.partitionBy("wid")
+    rated = rated.withColumn("rank", F.row_number().over(own.orderBy("count", "off")) - 1).withColumn("least", F.min("count").over(own))
+    return rated.where("least > 0").select("wid", "rank", "tid", "off", "size")
+
+
+class Lists:
+    """An index, and the ranked terms of windows by which its lists are intersected."""
+
+    def __init__(self, index: DataFrame, ranks: DataFrame):
+        self.index, self.ranks = index, stored(ranks)
+        self.n = self.ranks.count()
+
+    def places(self) -> DataFrame:
+        """PLACE of all windows by their rarest terms; start counts from 1, and may lie before the document."""
+        first = _small(self.ranks.where("rank = 0").select("wid", "tid", "off"), self.n)
+        return stored(self.index.join(first, "tid").select("d", "twin", "wid", (F.col("at") - F.col("off")).alias("start")).distinct())
+
+    def meet(self, places: DataFrame, low: int, high: int, slop: int = 0) -> DataFrame:
+        """The places at which the terms of ranks low to high (exclusive) stand within slop words of theirs."""
+        wanted = self.ranks.where(F.col("rank").between(low, high - 1))
+        need = places.join(_small(wanted, self.n), "wid").select(*PLACE, "size", "rank", "tid", (F.col("start") + F.col("off")).alias("at"))
+        if slop:
+            need = need.withColumn("at", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)))
+        rows = places.count() * (high - low) * (2 * slop + 1)  # at most
+        lists = self.index.join(_small(wanted.select("tid").distinct(), self.n), "tid", "left_semi").select("d", "twin", "tid", "at")
+        keys = ["d", "twin", "tid", "at"]
+        met = lists.join(F.broadcast(need), keys) if rows <= BROADCAST_ROWS else need.join(lists.distinct(), keys)
+        if high - low > 1:  # a window of fewer terms needs those that it has
+            met = met.groupBy(*PLACE, "size").agg(F.size(F.collect_set("rank")).alias("met")).where(F.col("met") == F.least(F.lit(high), "size") - low)
+        short = self.ranks.where((F.col("rank") == 0) & (F.col("size") <= low)).select("wid")
+        passed = places.join(_small(short, self.n), "wid", "left_semi")
+        return stored(met.select(*PLACE).distinct().union(passed.select(*PLACE)))
+
+    def near(self, places: DataFrame, slop: int = SLOP) -> DataFrame:
+        """The places at which the NEAR_TERMS rarest terms stand within slop words of theirs, the rarest in its own."""
+        for k in range(1, NEAR_TERMS):
+            places = self.meet(places, k, k + 1, slop)
+        return places
+
+    def phrases(self, places: DataFrame) -> DataFrame:
+        """The places at which whole windows stand."""
+        for k in range(1, ONE_BY_ONE):
+            places = self.meet(places, k, k + 1)
+        last = self.ranks.agg(F.max("size")).first()[0] or 0
+        return self.meet(places, ONE_BY_ONE, last) if last > ONE_BY_ONE else places
+
+
+def _named(places: DataFrame, items: DataFrame, name: str) -> DataFrame:
+    """(d, twin, name array of the ids, in order, of items with windows at places)."""
+    return places.select("d", "twin", "wid").distinct().join(items, "wid").groupBy("d", "twin").agg(F.array_sort(F.collect_set("item")).alias(name))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, near: bool = False) -> DataFrame:
+    """(doc_id, twin, n_words long, n_hit long, items array of ids in order) for each row, stored.
+
+    near: also near_items, the ids of items of which a window stands whole or by proximity.
     """
-    met = index.where("at > 0").join(F.broadcast(looked_up), "key")
-
-    def found(w: Column) -> Column:
-        def near(term: Column, k: Column) -> Column:
-            place = F.col("at") - w["at"] + k - F.col("first") + 1  # in around, from 1
-            low = F.greatest(F.lit(1), place - slop)
-            high = place + slop
-            return F.when(high >= low, F.array_contains(F.slice("around", low, F.greatest(F.lit(0), high - low + 1)), term)).otherwise(False).cast("int")
-
-        return F.aggregate(F.transform(w["w"], near), F.lit(0), lambda a, x: a + x)
-
-    scored = F.transform("windows", lambda w: F.struct(found(w).alias("found"), F.size(w["w"]).alias("width"), w["items"].alias("items")))
-    return met.select("doc_id", "twin", "at", F.explode(scored).alias("m")).where(F.col("m.found") >= F.lit(share) * F.col("m.width")).select("doc_id", "twin", "at", "m.found", "m.items")
-
-
-def _blocks(wins: DataFrame) -> list[DataFrame]:
-    n = -(-wins.count() // BLOCK_WINDOWS)
-    return [wins.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k) for k in range(n)] if n > 1 else [wins]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(doc_id, twin, n_words long, n_hit long, items array of ids in order) for each row."""
     docs = docs.select("doc_id", "text")
-    wins = stored(windows(benchmark, width))
-    found, lengths = [], None
-    for block in _blocks(wins):
-        terms = block.select(F.explode("w").alias("term")).select(F.xxhash64("term").alias("key")).distinct()
-        looked_up = stored(lookups(block, frequencies(docs, terms)))
-        index = stored(postings(docs, looked_up, width))
-        if lengths is None:
-            lengths = index.where("at = 0").select("doc_id", "twin", "n")
-        found.append(phrases(index, looked_up))
-    hits = reduce(DataFrame.union, found).groupBy("doc_id", "twin").agg(F.collect_set(F.struct("start", "width")).alias("spans"), F.collect_set("items").alias("items"))
+    wins, items = windows(benchmark, width)
+    terms = stored(wins.select(F.explode("w").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id()))
+    n_terms = terms.count()
+    folder = scratch_folder(docs.sparkSession, "postings")
+    indexed(docs, terms, n_terms).write.parquet(folder)
+    index = docs.sparkSession.read.parquet(folder)
+    lists = Lists(index.where("at > 0"), ranked(wins, terms, n_terms, index))
+    places = lists.places()
+    if near:
+        close = places = lists.near(places)
+    spans = lists.phrases(places)
+    width_of = lists.ranks.where("rank = 0").select("wid", F.col("size").alias("width"))
+    hits = spans.join(_small(width_of, lists.n), "wid").groupBy("d", "twin").agg(F.collect_set(F.struct("start", "width")).alias("spans"))
     # Covered words: in order of start, each span adds what lies beyond the words covered so far.
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("words")),
         lambda a, s: F.struct(F.greatest(a["upto"], s["start"] + s["width"] - 1).alias("upto"), (a["words"] + F.greatest(F.lit(0), s["start"] + s["width"] - 1 - F.greatest(a["upto"], s["start"] - 1))).cast("long").alias("words")),
     )["words"]
-    hits = hits.select(F.col("doc_id").alias("d"), F.col("twin").alias("t"), covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    joined = lengths.join(hits, lengths.doc_id.eqNullSafe(hits.d) & lengths.twin.eqNullSafe(hits.t), "left")
-    return joined.select("doc_id", "twin", F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    none = F.array().cast("array<string>")
+    rows = index.where("at = 0").select("d", "twin", "nil", F.col("n").cast("long").alias("n_words"))
+    out = rows.join(hits.select("d", "twin", covered.alias("n_hit")), ["d", "twin"], "left").join(_named(spans, items, "items"), ["d", "twin"], "left")
+    kept = [F.when(~F.col("nil"), F.col("d")).alias("doc_id"), "twin", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")]
+    if near:
+        out = out.join(_named(close, items, "near_items"), ["d", "twin"], "left")
+        kept.append(F.coalesce("near_items", none).alias("near_items"))
+    done = stored(out.select(*kept))
+    files.remove(docs.sparkSession, folder)
+    return done
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with its columns, in which no window of the benchmark occurs."""
     hit = contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("twin").alias("__t")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("__t")), "left_anti")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__d")) & (_keyed(docs)[1] == F.col("__t")), "left_anti")

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from rowloom.llm import decontam
 from tests.conftest import SF
@@ -27,8 +28,37 @@ def plain(docs, items, width=10):
     return sorted(out, key=str)
 
 
-def got(docs, items):
-    return sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(docs, items).collect()), key=str)
+def plain_near(docs, items, width=10, terms=4, slop=2):
+    """(doc, ids of items of which a window's rarest terms stand near their places, the rarest in its own)."""
+    split = [(doc, WORD.findall((text or "").translate(LOWER))) for doc, text in docs]
+    counts = Counter(x for _, w in split for x in w)
+    wins = {}
+    for item, text in items:
+        w = WORD.findall((text or "").translate(LOWER))
+        for s in range(max(1, len(w) - width + 1)) if w else ():
+            wins.setdefault(tuple(w[s : s + width]), set()).add("" if item is None else str(item))
+    out = []
+    for doc, w in split:
+        at = {}
+        for k, x in enumerate(w):
+            at.setdefault(x, []).append(k)
+        found = set()
+        for win, names in wins.items():
+            rank = sorted((counts[x], k, x) for k, x in enumerate(win))[:terms]
+            for p in at.get(rank[0][2], ()):
+                s = p - rank[0][1]
+                if all(any(abs(q - s - k) <= slop for q in at.get(x, ())) for _, k, x in rank[1:]):
+                    found |= names
+        out.append((doc, sorted(found)))
+    return sorted(out, key=str)
+
+
+def got(docs, items, near=False):
+    rows = decontam.contamination(docs, items, near=near).collect()
+    if near:
+        assert all(set(r["items"]) <= set(r["near_items"]) for r in rows)
+        return sorted(((r.doc_id, r["near_items"]) for r in rows), key=str), sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in rows), key=str)
+    return sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in rows), key=str)
 
 
 def frames(spark, docs, items):
@@ -37,7 +67,9 @@ def frames(spark, docs, items):
 
 def test_real_tables(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    assert got(docs, items) == plain([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in items.collect()])
+    rows, wanted = [(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in items.collect()]
+    assert got(docs, items) == plain(rows, wanted)
+    assert got(docs, items, True) == (plain_near(rows, wanted), plain(rows, wanted))
 
 
 def test_random_texts_of_few_words(spark, monkeypatch):
@@ -49,8 +81,12 @@ def test_random_texts_of_few_words(spark, monkeypatch):
     want = plain(docs, items)
     assert sum(r[2] > 0 for r in want) > 10
     assert got(*frames(spark, docs, items)) == want
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 5)  # the benchmark in several blocks
+    near = plain_near(docs, items)
+    assert any(len(n) > len(w[3]) for (_, n), w in zip(near, want, strict=True))
+    assert got(*frames(spark, docs, items), True) == (near, want)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 5)  # all joins by shuffle
     assert got(*frames(spark, docs, items)) == want
+    assert got(*frames(spark, docs, items), True) == (near, want)
 
 
 def test_awkward_rows(spark, awkward, no_rows):
@@ -74,11 +110,28 @@ def test_one_id_with_two_texts(spark):
 
 def test_proximity(spark):
     text = "one two three four five six seven eight nine ten"
-    docs, items = frames(spark, [(1, text), (2, text.replace("four", "uno four")), (3, text.replace("two", "x").replace("four", "y")), (4, "two four two four"), (5, "ten nine eight seven six five four three two one")], [(1, text)])
-    wins = decontam.windows(items)
-    terms = wins.selectExpr("explode(w) AS t").selectExpr("xxhash64(t) AS key").distinct()
-    looked_up = decontam.lookups(wins, decontam.frequencies(docs, terms))
-    index = decontam.postings(docs, looked_up)
-    near = {(r.doc_id, r.found) for r in decontam.proximity(index, looked_up).collect()}
-    assert near == {(1, 10), (2, 9), (3, 8)}
-    assert {r.doc_id for r in decontam.phrases(index, looked_up).collect()} == {1}
+    rows = [(1, text), (2, text.replace("four", "uno four")), (3, text.replace("two", "x").replace("four", "y")), (4, "two four two four"), (5, "ten nine eight seven six five four three two one"), (6, text + " one one two two three three four four")]
+    items = [(1, text)]
+    near, whole = got(*frames(spark, rows, items), True)
+    assert near == plain_near(rows, items) and whole == plain(rows, items)
+    assert {d for d, found in near if found} == {1, 2, 3, 6} and {r[0] for r in whole if r[2]} == {1, 6}
+
+
+def test_a_window_of_very_many_items_and_repeated_rows(spark):
+    """Items and copies of rows are merged before they meet."""
+    shared = "this very line of ten plain words stands in all"
+    docs = spark.range(300).selectExpr("IF(id < 200, 7L, id) AS doc_id", f"IF(id % 100 < 50 OR id < 200, 'start {shared} end', 'nothing here') AS text")
+    items = spark.range(100_000).selectExpr("id AS item_id", f"'{shared}' AS text")
+    rows = decontam.contamination(docs, items).collect()
+    assert len(rows) == 300 and all(r.n_hit in (0, 10) and len(r["items"]) == (100_000 if r.n_hit else 0) for r in rows)
+    assert sum(r.n_hit > 0 for r in rows) == 250
+
+
+def test_the_index_reads_documents_once(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    wins, named = decontam.windows(items)
+    terms = wins.selectExpr("explode(w) AS term").distinct().selectExpr("term", "monotonically_increasing_id() AS tid")
+    index = decontam.indexed(docs, terms, terms.count()).where("at > 0").collect()
+    known = {r.term: r.tid for r in terms.collect()}
+    want = sorted((known[x], r.doc_id, k) for r in docs.collect() for k, x in enumerate(WORD.findall((r.text or "").translate(LOWER)), 1) if x in known)
+    assert sorted((r.tid, r.d, r["at"]) for r in index) == want
