@@ -7,8 +7,9 @@ text gets the language whose prototype has the largest cosine to its vector.
 
 Whole texts count, both in prototypes and in predictions. Prototypes are fitted
 on at most ROWS_PER_LANGUAGE labelled rows a language (chosen by hash of doc_id,
-so their number is an expected one), bundled by a fixed number of tasks; only
-their sums reach the driver.
+so their number is an expected one); only their sums, 8 KB a language, reach the
+driver. Texts are compared with BLOCK languages at a time, so there may be any
+number of languages.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and so is every text if there is nothing to learn from; ties go to the language
@@ -31,8 +32,8 @@ DIMENSIONS = 1024
 GRAM = 3
 SEED = 42
 ROWS_PER_LANGUAGE = 2000
-#: Languages whose prototypes (8 KB each) a model may hold.
-MAX_LANGUAGES = 1000
+#: Languages (4 KB each) that texts are compared with at once, and whose sums a task holds.
+BLOCK = 4096
 FIT_TASKS = 8
 #: Documents a stage keeps have at least this score: the spread of cosines of unrelated vectors.
 MIN_SCORE = DIMENSIONS**-0.5
@@ -40,6 +41,8 @@ MIN_SCORE = DIMENSIONS**-0.5
 CLASSES = 128
 #: Texts, and about as many code points, whose vectors are made at once.
 GROUP_TEXTS, GROUP_CHARS = 256, 2_000_000
+#: N-grams whose vectors are made at once.
+GRAMS = 4096
 
 
 def letter_vectors() -> np.ndarray:
@@ -70,22 +73,22 @@ class Profiles:
         """The n-gram ids of a text, with one boundary for each run of other characters."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
         if not len(points):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int32)
         classes = self.table[np.minimum(points, 0xFFFF)]
         for at in np.flatnonzero(points > 0xFFFF):
             classes[at] = 27 + points[at] % (CLASSES - 27) if chr(points[at]).isalpha() else 0
         if not classes.any():
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int32)
         padded = np.concatenate([np.zeros(1, np.uint8), classes, np.zeros(1, np.uint8)])
-        kept = padded[np.concatenate([[True], (padded[1:] != 0) | (padded[:-1] != 0)])].astype(np.int64)
-        ids = np.zeros(len(kept) - GRAM + 1, np.int64)
+        kept = padded[np.concatenate([[True], (padded[1:] != 0) | (padded[:-1] != 0)])].astype(np.int32)
+        ids = np.zeros(len(kept) - GRAM + 1, np.int32)
         for k in range(GRAM):
             ids = ids * CLASSES + kept[k : len(kept) - GRAM + 1 + k]
         return ids
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A vector for each text; zero if it has no letter."""
-        lists = [self.grams(t) if t else np.zeros(0, np.int64) for t in texts]
+        lists = [np.sort(self.grams(t)) if t else np.zeros(0, np.int32) for t in texts]
         seen = np.zeros(CLASSES**GRAM, bool)
         for ids in lists:
             seen[ids] = True
@@ -93,24 +96,36 @@ class Profiles:
         place = np.zeros(CLASSES**GRAM, np.int32)
         place[known] = np.arange(len(known))
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
-        counts = np.stack([np.bincount(place[ids], minlength=len(known)) for ids in lists]).astype(np.float32) if len(known) else None
-        for at in range(0, len(known), 4096):
-            part = known[at : at + 4096]
+        cuts = [np.searchsorted(ids, known[::GRAMS]) for ids in lists]
+        counts = np.zeros((len(texts), GRAMS), np.float32)
+        for k, at in enumerate(range(0, len(known), GRAMS)):
+            part = known[at : at + GRAMS]
+            for row, (ids, cut) in enumerate(zip(lists, cuts, strict=True)):
+                own = ids[cut[k] : cut[k + 1] if k + 1 < len(cut) else None]
+                counts[row, : len(part)] = np.bincount(place[own] - at, minlength=len(part))
             vectors = np.ones((len(part), DIMENSIONS), np.int8)
-            for k in range(GRAM):
-                vectors *= self.rolled[k][part // CLASSES ** (GRAM - 1 - k) % CLASSES]
-            out += counts[:, at : at + 4096] @ vectors.astype(np.float32)
+            for g in range(GRAM):
+                vectors *= self.rolled[g][part // CLASSES ** (GRAM - 1 - g) % CLASSES]
+            out += counts[:, : len(part)] @ vectors.astype(np.float32)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def blocks(self) -> list[tuple[list[str], np.ndarray]]:
+        """Languages and prototypes by BLOCK, none if there are none."""
+        return [(self.languages[k : k + BLOCK], self.prototypes[k : k + BLOCK]) for k in range(0, len(self.languages), BLOCK)]
+
+    def nearest(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The nearest language of each text and its cosine, -2 and UND for a text without letters."""
         vectors = self.bundle(texts)
         norms = np.linalg.norm(vectors, axis=1)
         if not self.languages:
-            return [UND] * len(texts), [0.0] * len(texts)
+            return [UND] * len(texts), np.full(len(texts), -2.0)
         cosines = (vectors @ self.prototypes.T) / np.where(norms > 0, norms, 1)[:, None]
         best = cosines.argmax(axis=1)
-        names = [self.languages[b] if n > 0 else UND for b, n in zip(best, norms, strict=True)]
-        return names, [float(min(1.0, max(0.0, cosines[i, b]))) if norms[i] > 0 else 0.0 for i, b in enumerate(best)]
+        return [self.languages[b] if n > 0 else UND for b, n in zip(best, norms, strict=True)], np.where(norms > 0, cosines[np.arange(len(texts)), best], -2.0).astype(np.float64)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        names, cosines = self.nearest(texts)
+        return names, [min(1.0, max(0.0, float(c))) for c in cosines]
 
 
 def groups(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
@@ -132,63 +147,91 @@ def held_out(divisor: int = 4, rest: int = 2) -> Column:
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Profiles:
     """Profiles of the languages in lang, from rows that aren't held out."""
     taught = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull())
-    counts = taught.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = sorted(tuple(r) for r in taught.groupBy("lang").count().collect())  # a row for each language
     if not counts:
         return Profiles([], np.zeros((0, DIMENSIONS)))
-    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, rows_per_language / r["count"]))))
-    chosen = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < shares[F.col("lang")] * float(1 << 30)
-    sample = taught.where(chosen & F.col("text").isNotNull()).select("lang", "text").repartition(FIT_TASKS)
+    shares = docs.sparkSession.createDataFrame([(name, k, min(1.0, rows_per_language / n)) for k, (name, n) in enumerate(counts)], "lang string, no int, share double")
+    chosen = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < F.col("share") * float(1 << 30)
+    sample = taught.where(F.col("text").isNotNull()).join(F.broadcast(shares), "lang").where(chosen).select("no", "text").repartition(FIT_TASKS)
+
+    def listed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["no", "sums"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles([], np.zeros((0, DIMENSIONS))), {}
         for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            langs, texts = batch.column("no").to_pylist(), batch.column("text").to_pylist()
             at = 0
             for part in groups(iter(texts)):
                 vectors = profiles.bundle(part)
                 for lang, vector in zip(langs[at : at + len(part)], vectors, strict=True):
                     sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
                 at += len(part)
+                if len(sums) >= BLOCK:
+                    yield listed(sums)
+                    sums.clear()
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "sums"])
+            yield listed(sums)
 
-    names = [r["lang"] for r in counts]
-    prototypes = np.zeros((len(names), DIMENSIONS))
-    for row in sorted(sample.mapInArrow(bundle, "lang string, sums binary").collect(), key=lambda r: (r["lang"], bytes(r["sums"]))):
-        prototypes[names.index(row["lang"])] += np.frombuffer(row["sums"])
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One sum a language; rows come by language. Sums are of whole numbers, so their order doesn't matter."""
+        of, total = None, np.zeros(DIMENSIONS)
+        for batch in batches:
+            for no, sums in zip(batch.column("no").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                if of is not None and no != of:
+                    yield listed({of: total})
+                    total = np.zeros(DIMENSIONS)
+                of, total = no, total + np.frombuffer(sums)
+        if of is not None:
+            yield listed({of: total})
+
+    kind = "no int, sums binary"
+    found = sample.mapInArrow(bundle, kind).repartition(FIT_TASKS, "no").sortWithinPartitions("no").mapInArrow(together, kind)
+    prototypes = np.zeros((len(counts), DIMENSIONS))
+    for row in found.toLocalIterator():
+        prototypes[row["no"]] = np.frombuffer(row["sums"])
     learned = np.flatnonzero(np.abs(prototypes).sum(axis=1))
-    return Profiles([names[k] for k in learned], prototypes[learned])
+    return Profiles([counts[k][0] for k in learned], prototypes[learned])
 
 
-def _predicted(profiles: Profiles, names: tuple[str, str]):
-    model = (profiles.languages, profiles.prototypes)
+def _predicted(block: tuple[list[str], np.ndarray], names: tuple[str, str], first: bool):
+    """Nearest languages of a block as two more columns, or in those that there are where they are nearer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Profiles(*model)
+        own = Profiles(*block)
         for batch in batches:
-            langs, scores = [], []
+            langs: list[str] = []
+            cosines: list[float] = []
             for part in groups(t.as_py() for t in batch.column("text")):
-                found, sure = own.predict(part)
+                found, sure = own.nearest(part)
                 langs += found
-                scores += sure
-            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+                cosines += sure.tolist()
+            kept = batch.columns if first else batch.columns[:-2]
+            if not first:  # the language first in order stays by ties
+                before = list(zip(batch.column(names[0]).to_pylist(), batch.column(names[1]).to_pylist(), strict=True))
+                both = [b if b[1] >= c else (lang, c) for b, lang, c in zip(before, langs, cosines, strict=True)]
+                langs, cosines = [b[0] for b in both], [b[1] for b in both]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(cosines, pa.float64())], names=[*batch.schema.names[: len(kept)], *names])
 
     return run
 
 
+def _with_languages(rows: DataFrame, profiles: Profiles, names: tuple[str, str]) -> DataFrame:
+    """rows with the nearest language of text, and its score."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), f"{names[0]} string, {names[1]} double"])
+    for k, block in enumerate(profiles.blocks() or [([], np.zeros((0, DIMENSIONS)))]):
+        rows = rows.mapInArrow(_predicted(block, names, k == 0), schema)
+    return rows.withColumn(names[1], F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(names[1]))))
+
+
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row."""
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, text string, lang_pred string, score double"
-    return rows.mapInArrow(_predicted(profiles, ("lang_pred", "score")), schema).drop("text")
+    return _with_languages(rows, profiles, ("lang_pred", "score")).drop("text")
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float = MIN_SCORE) -> DataFrame:
     """The rows of docs, with its columns, whose language is known with at least that score."""
     plain = docs.toDF(*(f"c{k}" if c != "text" else c for k, c in enumerate(docs.columns)))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    found = plain.mapInArrow(_predicted(profiles, ("found", "sure")), f"{fields}, found string, sure double")
+    found = _with_languages(plain, profiles, ("found", "sure"))
     return found.where((F.col("found") != UND) & (F.col("sure") >= least)).drop("found", "sure").toDF(*docs.columns)

@@ -57,9 +57,9 @@ IBAN_LENGTHS = {
 }
 #: Characters that a match takes up, where it isn't all of it.
 TAKES = {"iban": 4}
-# What a text must hold (nothing: any) for the pattern to be tried.
+#: What a text must hold (nothing: any) for the pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "iban": "", "ssn": "-"}
-# Context words by kind, in lower case.
+#: Context words by kind, in lower case.
 CONTEXT_WORDS = {
     "email": "mail|contact|write to|courriel|correo",
     "ip": "ip|address|host|server|adresse",
@@ -69,12 +69,9 @@ CONTEXT_WORDS = {
     "ssn": "ssn|social security",
     "card_short": "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta",
 }
-# Scores of a confirmed span without and with a context word.
+#: Scores of a confirmed span without and with a context word.
 SCORES = {"email": (0.9, 1.0), "ip": (0.6, 0.9), "card": (0.8, 1.0), "phone": (0.6, 0.9), "iban": (0.8, 1.0), "ssn": (0.4, 0.8), "card_short": (0.5, 0.9)}
 
-
-
-
 #: Matches that are walked at a time, so that appending stays in proportion.
 CHUNK = 256
 
@@ -219,12 +216,12 @@ def spans(docs: DataFrame, out: str = "spans") -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of docs with spans."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) of docs with spans; scores are those of spans."""
     listed = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.concat_ws(",", F.transform("spans", lambda x: x["score"].cast("string"))).alias("scores"))
 
 
 def redact(docs: DataFrame, length: str = "n_chars") -> DataFrame:

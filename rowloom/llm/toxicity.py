@@ -128,11 +128,16 @@ def held_out(divisor: int = 5, rest: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == rest, F.lit(False))
 
 
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(features(t.as_py() or b"")).astype(np.int32).tobytes() for t in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(found, pa.binary()), batch.column("toxic")], names=["place", "features", "toxic"])
+
+
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
-        for text, label in zip(batch.column("text").cast(pa.binary()), batch.column("toxic").to_pylist(), strict=True):
-            rows.append((np.unique(features(text.as_py() or b"")), label))
+        rows += [(np.frombuffer(f, np.int32).astype(np.int64), label) for f, label in zip(batch.column("features").to_pylist(), batch.column("toxic").to_pylist(), strict=True)]
     if rows:
         places, weights, intercept = train(rows)
         yield pa.RecordBatch.from_arrays([pa.array([places.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary()), pa.array([intercept], pa.float64())], names=["places", "weights", "intercept"])
@@ -144,9 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n = taught.count()
     share = min(1.0, sample_rows / max(n, 1))
     chosen = taught.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # The sample has some sample_rows rows of a few bytes each; its texts go to the one task that fits.
+    # The sample has some sample_rows rows of a few bytes each; its features go to the one task that fits.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").select("text", "toxic")
+    found = rows.select(F.xxhash64(F.lit(SEED), "doc_id").alias("place"), "text", "toxic").mapInArrow(_extracted, "place long, features binary, toxic int")
+    sample = found.repartition(1).sortWithinPartitions("place", "features").select("features", "toxic")
     found = sample.mapInArrow(_fitted, "places binary, weights binary, intercept double").collect()
     if not found:
         return Model(np.zeros(0, np.int64), np.zeros(0), None)

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -78,3 +79,30 @@ def test_lang_source_and_id_are_no_inputs(spark):
     profiles = langid.fit(docs)
     blind = docs.selectExpr("doc_id", "text", "'xx' AS lang", "'yy' AS source")
     assert sorted(langid.predict(blind, profiles).collect()) == sorted(langid.predict(docs, profiles).collect())
+
+
+def test_very_many_languages(spark, monkeypatch):
+    """There may be any number, compared block by block; a tie goes to the first."""
+    rows = [(k, f"word{k % 1500} {chr(97 + k % 26) * 3}{chr(97 + k // 26 % 26) * 3}{chr(97 + k // 676 % 26) * 3} tail", f"l{k % 1500:04d}") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.fit(docs)
+    assert 1000 < len(profiles.languages) <= 1500 and profiles.languages == sorted(profiles.languages)
+    whole = sorted(langid.predict(docs, profiles).collect())
+    monkeypatch.setattr(langid, "BLOCK", 400)
+    assert len(profiles.blocks()) > 2
+    assert sorted(langid.predict(docs, langid.fit(docs)).collect()) == whole
+    twins = langid.Profiles(["a", "b"], np.stack([profiles.prototypes[0]] * 2))
+    monkeypatch.setattr(langid, "BLOCK", 1)
+    assert {r.lang_pred for r in langid.predict(docs.limit(5), twins).collect()} == {"a"}
+
+
+def test_memory_of_texts_with_very_many_ngrams():
+    """A group of texts whose n-grams are nearly all different takes memory in proportion to the texts."""
+    rng = np.random.default_rng(0)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 7800))) for _ in range(256)]
+    profiles = langid.Profiles([], np.zeros((0, langid.DIMENSIONS)))
+    tracemalloc.start()
+    profiles.bundle(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
