@@ -1,11 +1,12 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
 1. The benchmark's windows (ten consecutive words of an item; a shorter item
-   whole) and their terms are numbered.
-2. The index stores a posting for each occurrence of any of these terms in the
-   corpus: term, document and position. Documents are split into words once,
-   whatever the benchmark's size. The corpus frequencies of terms are counts of
-   the index; they rank the terms of each window, the rarest first.
+   whole) and their terms are numbered, and the corpus frequencies of the terms
+   counted. They rank the terms of each window, the rarest first.
+2. The index stores a posting for each occurrence of a term in the corpus: term,
+   document and position. It is built as far as lists are read: first those of
+   each window's two rarest terms, over all documents; then those of all terms,
+   in the documents that the intersection of the first has reached.
 3. The lists of a window's terms are intersected from the rarest: its postings,
    adjusted by the term's offset, are the places where the window may begin, and
    the list of the next term keeps those at which it stands in its place, too.
@@ -13,6 +14,7 @@
    proximity match, all terms in place a phrase match.
 4. Windows that match name the items that hold them.
 
+The number of passes over the documents is the same for a benchmark of any size.
 Lists are joined on document, term and position, so no term, passage or window
 that is very frequent makes a hot key; equal postings of repeated rows are merged
 before they meet. Windows and terms are broadcast up to a checked number, and
@@ -42,8 +44,6 @@ WINDOW = 10
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: The rarest terms of a window that a proximity match needs, and how many words off its place each may stand.
 NEAR_TERMS, SLOP = 4, 2
-#: Terms of exact matches that are met one by one; the others are met together.
-ONE_BY_ONE = 3
 #: Rows of windows, terms or places (some 50 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 PLACE = ["d", "twin", "wid", "start"]
@@ -72,22 +72,26 @@ def _keyed(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(own, F.lit("0").cast(docs.schema["doc_id"].dataType)), F.xxhash64(own.isNull(), F.col("text").cast("string"))
 
 
-def indexed(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, d, twin, at, n, nil): a posting for each occurrence of the terms (term, tid), at from 1; each row has one of tid -1 at 0.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(d, twin, nil, text) of each row; nil tells that its doc_id is null."""
+    d, twin = _keyed(docs)
+    return docs.select(d.alias("d"), twin.alias("twin"), F.col("doc_id").isNull().alias("nil"), F.col("text").cast("string").alias("text"))
+
 
-    n is the number of the document's words; nil tells that its doc_id is null.
+def indexed(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """(tid, d, twin, at, n, nil): a posting for each occurrence of the terms (term, tid) in keyed rows, at from 1; each row has one of tid -1 at 0.
+
+    n is the number of the row's words.
     """
-    d, twin = _keyed(docs)
-    read = docs.select(d.alias("d"), twin.alias("twin"), F.col("doc_id").isNull().alias("nil"), words(F.col("text").cast("string")).alias("all"))
+    read = rows.select("d", "twin", "nil", words(F.col("text")).alias("all"))
     # The outer form: else Catalyst tests the array for rows below, and splits each text twice.
     found = read.select("d", "twin", "nil", F.size("all").alias("n"), F.posexplode_outer(F.concat(F.array(F.lit("")), F.col("all"))).alias("at", "term"))
-    none = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).cast("long").alias("tid"))
-    return found.join(_small(terms.union(none), n_terms), "term").select("tid", "d", "twin", "at", "n", "nil")
+    none = rows.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).cast("long").alias("tid"))
+    return found.join(_small(terms.select("term", "tid").union(none), n_terms), "term").select("tid", "d", "twin", "at", "n", "nil")
 
 
-def ranked(wins: DataFrame, terms: DataFrame, n_terms: int, index: DataFrame) -> DataFrame:
-    """(wid, rank, tid, off, size): the terms of each window that the corpus can hold, the rarest first."""
-    counts = stored(index.groupBy("tid").count())
+def ranked(wins: DataFrame, terms: DataFrame, n_terms: int, counts: DataFrame) -> DataFrame:
+    """(wid, rank, tid, off, size): the terms of each window that the corpus can hold, the rarest first, by (tid, count) of the corpus."""
     placed = wins.select("wid", F.size("w").alias("size"), F.posexplode("w").alias("off", "term")).join(_small(terms, n_terms), "term")
     rated = placed.join(_small(counts, n_terms), "tid", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     own = Window.partitionBy("wid")
@@ -96,11 +100,10 @@ def ranked(wins: DataFrame, terms: DataFrame, n_terms: int, index: DataFrame) ->
 
 
 class Lists:
-    """An index, and the ranked terms of windows by which its lists are intersected."""
+    """An index, and the stored ranks of the terms of n windows' places by which its lists are intersected."""
 
-    def __init__(self, index: DataFrame, ranks: DataFrame):
-        self.index, self.ranks = index, stored(ranks)
-        self.n = self.ranks.count()
+    def __init__(self, index: DataFrame, ranks: DataFrame, n: int):
+        self.index, self.ranks, self.n = index.where("at > 0"), ranks, n
 
     def places(self) -> DataFrame:
         """PLACE of all windows by their rarest terms; start counts from 1, and may lie before the document."""
@@ -123,19 +126,6 @@ class Lists:
         passed = places.join(_small(short, self.n), "wid", "left_semi")
         return stored(met.select(*PLACE).distinct().union(passed.select(*PLACE)))
 
-    def near(self, places: DataFrame, slop: int = SLOP) -> DataFrame:
-        """The places at which the NEAR_TERMS rarest terms stand within slop words of theirs, the rarest in its own."""
-        for k in range(1, NEAR_TERMS):
-            places = self.meet(places, k, k + 1, slop)
-        return places
-
-    def phrases(self, places: DataFrame) -> DataFrame:
-        """The places at which whole windows stand."""
-        for k in range(1, ONE_BY_ONE):
-            places = self.meet(places, k, k + 1)
-        last = self.ranks.agg(F.max("size")).first()[0] or 0
-        return self.meet(places, ONE_BY_ONE, last) if last > ONE_BY_ONE else places
-
 
 def _named(places: DataFrame, items: DataFrame, name: str) -> DataFrame:
     """(d, twin, name array of the ids, in order, of items with windows at places)."""
@@ -147,20 +137,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ne
 
     near: also near_items, the ids of items of which a window stands whole or by proximity.
     """
-    docs = docs.select("doc_id", "text")
+    rows = keyed(docs.select("doc_id", "text"))
     wins, items = windows(benchmark, width)
     terms = stored(wins.select(F.explode("w").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id()))
     n_terms = terms.count()
+    ranks = stored(ranked(wins, terms, n_terms, stored(indexed(rows, terms, n_terms).groupBy("tid").count())))
+    n = ranks.count()
     folder = scratch_folder(docs.sparkSession, "postings")
-    indexed(docs, terms, n_terms).write.parquet(folder)
-    index = docs.sparkSession.read.parquet(folder)
-    lists = Lists(index.where("at > 0"), ranked(wins, terms, n_terms, index))
-    places = lists.places()
+
+    def written(name: str, postings: DataFrame) -> DataFrame:
+        postings.write.parquet(f"{folder}/{name}")
+        return docs.sparkSession.read.parquet(f"{folder}/{name}")
+
+    rare = terms.join(_small(ranks.where("rank < 2").select("tid").distinct(), n_terms), "tid", "left_semi")
+    index = written("rare", indexed(rows, rare, n_terms))
+    lists = Lists(index, ranks, n)
+    places = lists.meet(lists.places(), 1, 2, SLOP if near else 0)
+    reached = stored(places.select("d", "twin").distinct())
+    lists = Lists(written("reached", indexed(rows.join(_small(reached, reached.count()), ["d", "twin"], "left_semi"), terms, n_terms)), ranks, n)
     if near:
-        close = places = lists.near(places)
-    spans = lists.phrases(places)
-    width_of = lists.ranks.where("rank = 0").select("wid", F.col("size").alias("width"))
-    hits = spans.join(_small(width_of, lists.n), "wid").groupBy("d", "twin").agg(F.collect_set(F.struct("start", "width")).alias("spans"))
+        for k in range(2, NEAR_TERMS):
+            places = lists.meet(places, k, k + 1, SLOP)
+        close = places
+    # Few places are left that aren't matches: the lists of the other terms are met together.
+    spans = lists.meet(places, 1 if near else 2, width)
+    width_of = ranks.where("rank = 0").select("wid", F.col("size").alias("width"))
+    hits = spans.join(_small(width_of, n), "wid").groupBy("d", "twin").agg(F.collect_set(F.struct("start", "width")).alias("spans"))
     # Covered words: in order of start, each span adds what lies beyond the words covered so far.
     covered = F.aggregate(
         F.array_sort("spans"),
@@ -168,8 +170,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ne
         lambda a, s: F.struct(F.greatest(a["upto"], s["start"] + s["width"] - 1).alias("upto"), (a["words"] + F.greatest(F.lit(0), s["start"] + s["width"] - 1 - F.greatest(a["upto"], s["start"] - 1))).cast("long").alias("words")),
     )["words"]
     none = F.array().cast("array<string>")
-    rows = index.where("at = 0").select("d", "twin", "nil", F.col("n").cast("long").alias("n_words"))
-    out = rows.join(hits.select("d", "twin", covered.alias("n_hit")), ["d", "twin"], "left").join(_named(spans, items, "items"), ["d", "twin"], "left")
+    lengths = index.where("at = 0").select("d", "twin", "nil", F.col("n").cast("long").alias("n_words"))
+    out = lengths.join(hits.select("d", "twin", covered.alias("n_hit")), ["d", "twin"], "left").join(_named(spans, items, "items"), ["d", "twin"], "left")
     kept = [F.when(~F.col("nil"), F.col("d")).alias("doc_id"), "twin", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")]
     if near:
         out = out.join(_named(close, items, "near_items"), ["d", "twin"], "left")

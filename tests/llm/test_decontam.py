@@ -127,11 +127,11 @@ def test_a_window_of_very_many_items_and_repeated_rows(spark):
     assert sum(r.n_hit > 0 for r in rows) == 250
 
 
-def test_the_index_reads_documents_once(spark):
+def test_postings(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    wins, named = decontam.windows(items)
+    wins, _ = decontam.windows(items)
     terms = wins.selectExpr("explode(w) AS term").distinct().selectExpr("term", "monotonically_increasing_id() AS tid")
-    index = decontam.indexed(docs, terms, terms.count()).where("at > 0").collect()
+    index = decontam.indexed(decontam.keyed(docs), terms, terms.count()).where("at > 0").collect()
     known = {r.term: r.tid for r in terms.collect()}
     want = sorted((known[x], r.doc_id, k) for r in docs.collect() for k, x in enumerate(WORD.findall((r.text or "").translate(LOWER)), 1) if x in known)
     assert sorted((r.tid, r.d, r["at"]) for r in index) == want
