@@ -44,8 +44,8 @@ WINDOW = 10
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: The rarest terms of a window that a proximity match needs, and how many words off its place each may stand.
 NEAR_TERMS, SLOP = 4, 2
-#: Rows of windows, terms or places (some 50 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of windows and terms, and of places (some 60 bytes each), that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_PLACES = 500_000, 50_000
 PLACE = ["d", "twin", "wid", "start"]
 
 
@@ -113,14 +113,21 @@ class Lists:
     def meet(self, places: DataFrame, low: int, high: int, slop: int = 0) -> DataFrame:
         """The places at which the terms of ranks low to high (exclusive) stand within slop words of theirs."""
         wanted = self.ranks.where(F.col("rank").between(low, high - 1))
-        need = places.join(_small(wanted, self.n), "wid").select(*PLACE, "size", "rank", "tid", (F.col("start") + F.col("off")).alias("at"))
-        if slop:
-            need = need.withColumn("at", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)))
-        rows = places.count() * (high - low) * (2 * slop + 1)  # at most
+        several = ["size", "rank"] if high - low > 1 else []
+        need = places.join(_small(wanted, self.n), "wid").select(*PLACE, *several, "tid", (F.col("start") + F.col("off")).alias("wish"))
         lists = self.index.join(_small(wanted.select("tid").distinct(), self.n), "tid", "left_semi").select("d", "twin", "tid", "at")
-        keys = ["d", "twin", "tid", "at"]
-        met = lists.join(F.broadcast(need), keys) if rows <= BROADCAST_ROWS else need.join(lists.distinct(), keys)
-        if high - low > 1:  # a window of fewer terms needs those that it has
+        keys = ["d", "twin", "tid", "near"]
+        if slop:  # what is within slop words falls into one of two runs of words
+            run = lambda at: F.floor(at / (2 * slop + 1))
+            need = need.withColumn("near", F.explode(F.array_distinct(F.array(run(F.col("wish") - slop), run(F.col("wish") + slop)))))
+            lists = lists.withColumn("near", run(F.col("at")))
+        else:
+            need, lists = need.withColumnRenamed("wish", "near"), lists.withColumnRenamed("at", "near")
+        rows = places.count() * (high - low) * (2 if slop else 1)  # at most
+        met = lists.join(F.broadcast(need), keys) if rows <= BROADCAST_PLACES else need.join(lists.distinct(), keys)
+        if slop:
+            met = met.where(F.abs(F.col("at") - F.col("wish")) <= slop)
+        if several:  # a window of fewer terms needs those that it has
             met = met.groupBy(*PLACE, "size").agg(F.size(F.collect_set("rank")).alias("met")).where(F.col("met") == F.least(F.lit(high), "size") - low)
         short = self.ranks.where((F.col("rank") == 0) & (F.col("size") <= low)).select("wid")
         passed = places.join(_small(short, self.n), "wid", "left_semi")

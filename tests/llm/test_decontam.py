@@ -85,6 +85,7 @@ def test_random_texts_of_few_words(spark, monkeypatch):
     assert any(len(n) > len(w[3]) for (_, n), w in zip(near, want, strict=True))
     assert got(*frames(spark, docs, items), True) == (near, want)
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 5)  # all joins by shuffle
+    monkeypatch.setattr(decontam, "BROADCAST_PLACES", 0)
     assert got(*frames(spark, docs, items)) == want
     assert got(*frames(spark, docs, items), True) == (near, want)
 
