@@ -64,9 +64,9 @@ MEMO = 500_000
 #: Words from which a chunk of documents ends.
 CHUNK = 1 << 21
 #: Words of chunks that meet in one task to be counted.
-SLICED = 1 << 21
+SLICED = 1 << 18
 #: Tokens of a shard, rounds of training, and weights that are averaged at once.
-SHARD_TOKENS, ROUNDS, FAN_IN = 1 << 21, 4, 64
+SHARD_TOKENS, ROUNDS, FAN_IN = 1 << 21, 4, 16
 SHAPES = {"embed": (len(OFFSETS), TOKENS + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "to_member": (CLASSES, WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
 
@@ -347,7 +347,7 @@ def counted(asking: DataFrame | None, adding: DataFrame) -> DataFrame:
     if asking is not None:
         words = words.union(asking.select("*", F.lit(False).alias("adds"), F.lit(True).alias("asks")))
     size = words.agg(F.sum(F.length("keys") / 8)).first()[0] or 0
-    bits = max(0, ceil(log2(max(tasks(words), size / SLICED))))
+    bits = max(0, ceil(log2(max(1, size / SLICED))))
     slices = words.mapInArrow(_sliced(bits), "part long, chunk long, keys binary, counts binary, adds boolean, asks boolean")
     return stored(slices.repartition(tasks(words), "part").sortWithinPartitions("part").mapInArrow(_totalled, COUNTED))
 
