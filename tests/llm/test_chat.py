@@ -2,6 +2,10 @@ import hashlib
 import re
 from itertools import accumulate
 
+import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
+
 from rowloom.llm import chat
 from tests.conftest import SF
 
@@ -80,6 +84,27 @@ def test_digest_of_whole_examples(spark):
             assert (r.n_examples, r.example_chars, r.examples_sha256) == (n, chars, hashlib.sha256(lines.encode()).hexdigest())
 
 
+def test_expand_writes_whole_examples(spark):
+    """Each assistant turn's row holds all preceding turns, and the digest reads these."""
+    texts = [("system", "s"), ("user", "<|q\n"), ("assistant", "r1"), ("assistant", "é\\"), ("user", "q2"), ("assistant", None), ("user", "last")]
+    df = spark.createDataFrame([(c, t, role, text) for c in (1, 2) for t, (role, text) in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    expanded = chat.expand(df)
+    rows = sorted(expanded.collect(), key=lambda r: (r.conv_id, r.place))
+    for c in (1, 2):
+        turns = [r for r in rows if r.conv_id == c]
+        assert [r.place for r in turns] == list(range(7)) and [r.example for r in turns] == [None, None, 0, 1, None, 2, None]
+        for k, (r, (role, text)) in enumerate(zip(turns, texts, strict=True)):
+            before = "".join(x.segment for x in turns[:k])
+            assert r.context == (before if role == "assistant" else None)
+            if role == "assistant":
+                assert chat.unescape((r.context + r.segment)[r.loss_start : r.loss_end]) == (text or "")
+    for context in ("substring(context, 2)", "replace(context, 's<', 't<')", "concat(context, segment)"):
+        forged = expanded.withColumn("context", F.expr(context))
+        for placed in (True, False):
+            with pytest.raises(PythonException, match="ValueError"):
+                chat.digest(forged, placed=placed).collect()
+
+
 def test_one_very_long_turn(spark, monkeypatch):
     monkeypatch.setattr(chat, "WRITTEN", 1 << 20)
     df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "<|a\n" * 500_000), (1, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
